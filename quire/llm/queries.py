@@ -10,6 +10,11 @@ from .common import table
 from .packing import pack
 from .rans import round_trip
 from .simhash import near_duplicates
+from .substring import remove_repeats
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
