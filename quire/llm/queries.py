@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .embed_dedup import near_duplicate_vectors
+from .html_text import extract
 from .maxscore import top_k
 from .mixing import mix
 from .packing import pack
+from .quality import score_quality
 from .rans import round_trip
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .toxicity import score_toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,14 @@ def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -36,6 +47,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -47,9 +62,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_maxscore": op2_maxscore,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
 }
