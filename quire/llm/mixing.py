@@ -122,13 +122,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """The documents of the mix: each as often as it has copies, with its own columns."""
-    plan = mix(docs, weights, share).select("doc_id", "copies")
-    # rows of one doc_id with equal fate meet once: copies are summed over repeated rows and shared out again
+    """The documents of the mix: each as often as it has copies, with its own columns.
+
+    Rows that repeat a doc_id share the copies of that id among them, the earlier texts first.
+    """
+    ws = Workspace(docs.sparkSession, "mixed")
+    plan = ws.save(mix(docs, weights, share).select("doc_id", "copies"), "plan")
     total = plan.groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    named = total.withColumnRenamed("doc_id", "__doc")
+    repeated = total.where("__rows > 1").limit(1).count() > 0
+    named = total.where("__copies > 0").select(F.col("doc_id").alias("__doc"), "__copies", "__rows")
     got = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__doc")))
-    times = F.expr("cast(__copies div __rows as int)")
-    extra = got.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    times = times + (F.col("__k") <= F.col("__copies") % F.col("__rows")).cast("int")
-    return extra.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
+    times = F.col("__copies")
+    if repeated:
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        got = got.withColumn("__place", place)
+        times = F.expr("__copies div __rows + cast(__place <= __copies % __rows as int)")
+    each = got.withColumn("__times", times.cast("int")).where("__times > 0")
+    return each.withColumn("__i", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)

@@ -159,3 +159,19 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
     other = linked.join(lows, "component").select("fp", "component_low")
     label = nodes.join(other, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The documents whose doc_id is their component's smallest, with all their columns; one row for each doc_id.
+
+    A null doc_id can't be compared with others and stays.
+    """
+    ws = Workspace(docs.sparkSession, "one-of-each")
+    found = ws.save(near_duplicates(docs, bits, shingle, seed).select("doc_id", "component_id"), "found")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if repeated:
+        known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = known.unionByName(kept.where("doc_id is null"))
+    return kept

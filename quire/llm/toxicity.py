@@ -23,6 +23,8 @@ from .words import WordIds, split_words
 #: Documents the fit may use; labelled rows beyond it are left out by hash, not by place.
 SAMPLE = 6000
 FEATURES = 6000
+#: Shrinkage of a fit on n documents is LASSO / n.
+LASSO = 0.45
 PREFIXES = (4, 5, 6)
 PREDICT = 0.3
 _WORD = re.compile(r"\w+")
@@ -98,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, sample: int = SAMPLE,
     base = min(max(positive / n, 1e-6), 1 - 1e-6) if n else 0.5
     seen = train.mapInArrow(tell, "f string, y int").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
     chance = F.abs(F.col("p") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    listed = seen.where("n >= 3").withColumn("z", chance).orderBy(F.desc("z"), "f").limit(wanted).collect()
+    listed = seen.where("n >= 2").withColumn("z", chance).orderBy(F.desc("z"), "f").limit(wanted).collect()
     terms = sorted({f for w in _KIND for f in features_of(w)})
     names = list(dict.fromkeys([r["f"] for r in listed] + terms))
     number = {f: i for i, f in enumerate(names)}
@@ -119,10 +121,35 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, sample: int = SAMPLE,
     y = np.array([r["y"] for r in got], float)
     changes = [(lost, won) for r in got for lost, won in zip(r["lost"], r["won"])]
     pairs = Sparse([lost + won for lost, won in changes], len(names), [[-1.0] * len(lost) + [1.0] * len(won) for lost, won in changes])
-    w, b = fit_sparse(x, y, pairs, lasso=5e-5, ridge=1e-5, pair_weight=pair_weight)
+    w, b = fit_sparse(x, y, pairs, lasso=LASSO / max(1, n), ridge=1e-5, pair_weight=pair_weight)
     return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-9}, b)
 
 
+class Scorer:
+    """Scores of a batch of texts under a model; each distinct word is looked up once per task."""
+
+    def __init__(self, model: Model):
+        names = sorted(model.weights)
+        self.number = {f: i for i, f in enumerate(names)}
+        self.weights, self.bias = np.array([model.weights[f] for f in names] + [0.0]), model.bias
+        self.ids = WordIds(self.derive)
+
+    def derive(self, words: list[str]) -> list[tuple[int, ...]]:
+        number = self.number
+        return [tuple({number[f] for w in _WORD.findall(x.lower()) for f in features_of(w) if f in number}) for x in words]
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        n, width = len(column), len(self.weights)
+        flat, offsets = split_words(column)
+        codes, found = self.ids(flat)
+        some = np.array([len(x) for x in found], np.int64)
+        doc = np.repeat(np.arange(n), np.diff(offsets))
+        hit = some[codes] > 0
+        keys = [d * width + k for d, c in zip(doc[hit].tolist(), codes[hit].tolist()) for k in found[c]]
+        once = np.unique(np.array(keys, np.int64))
+        return sigmoid(self.bias + np.bincount(once // width, self.weights[once % width], minlength=n))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.3).
 
@@ -133,28 +160,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     all score alike; several labels of a document count as toxic if any is; repeated rows are scored each; an
     empty table gives no rows; other columns are ignored.
     """
-    ws = Workspace(docs.sparkSession, "toxicity")
-    model = fit(docs, labels, ws, sample)
-    names = sorted(model.weights)
-    number, weights, bias = {f: i for i, f in enumerate(names)}, np.array([model.weights[f] for f in names] + [0.0]), model.bias
+    model = fit(docs, labels, Workspace(docs.sparkSession, "toxicity"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def derive(words: list[str]) -> list[tuple[int, ...]]:
-            return [tuple({number[f] for w in _WORD.findall(x.lower()) for f in features_of(w) if f in number}) for x in words]
-
-        ids, width = WordIds(derive), len(weights)
+        scorer = Scorer(model)
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, offsets = split_words(part.column("text"))
-                codes, found = ids(flat)
-                some = np.array([len(x) for x in found], np.int64)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                hit = some[codes] > 0
-                keys = [d * width + k for d, c in zip(doc[hit].tolist(), codes[hit].tolist()) for k in found[c]]
-                once = np.unique(np.array(keys, np.int64))
-                z = bias + np.bincount(once // width, weights[once % width], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sigmoid(z))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(scorer(part.column("text")))], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(crc32_text(F.col("doc_id")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents that score_toxicity doesn't predict toxic, with all their columns."""
+    model = fit(docs, labels, Workspace(docs.sparkSession, "toxicity"), sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(scorer(part.column("text")) < PREDICT))
+
+    return docs.mapInArrow(run, docs.schema)
