@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, open_fs, slices, texts
 from .words import WordIds, hash_words, ranges, split_words
 
-PART_BYTES = 32 << 20
+PART_BYTES = 12 << 20
 RANGE_BITS = 24
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
