@@ -10,8 +10,12 @@ from quire.constants import ABBREVIATIONS, FOLIO_BAND, MAX_FOLIO
 _CLOSERS = "[\"'”’)\\]]"
 _OPENERS = "[\"'“‘(\\[]"
 _ABBREVIATION = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
-#: A boundary: terminators and closers, white space, then what opens a sentence; not after an abbreviation.
-BOUNDARY = f"(?<![.!?])(?<!(?<![A-Za-z.])\\.{{0,6}}(?i:{_ABBREVIATION}|[A-Z])\\.{{0,6}})([.!?]+)({_CLOSERS}*)(\\s+)(?={_OPENERS}*[A-Z0-9])"
+#: A boundary: terminators and closers, white space, then what opens a sentence; not after an abbreviation. The
+#: look-ahead in front rejects nearly all places before the costly look-behind is tried.
+BOUNDARY = (
+    f"(?=[.!?]+{_CLOSERS}*\\s+{_OPENERS}*[A-Z0-9])(?<![.!?])(?<!(?<![A-Za-z.])\\.{{0,6}}(?i:{_ABBREVIATION}|[A-Z])\\.{{0,6}})"
+    f"([.!?]+)({_CLOSERS}*)(\\s+)(?={_OPENERS}*[A-Z0-9])"
+)
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 SEGMENT_BREAK = "(?U)[^\\w\\s'’-]+|\\s[-–—]+\\s|[–—]"
 WORD = "(?U)([^\\W\\d_]+(?:['’-][^\\W\\d_]+)*)"
