@@ -379,8 +379,12 @@ def _terms(spark: SparkSession, sf_dir: str) -> TermTables:
     return TermTables(ch.chunk_pages(pages), sources(pages))
 
 
-_BOOK = F.split("book", "\u0001")[0].alias("book")
-_CHAPTER = F.regexp_replace("chapter_key", "^c:", "").alias("chapter")
+def _book() -> F.Column:
+    return F.split("book", "\u0001")[0].alias("book")
+
+
+def _chapter() -> F.Column:
+    return F.regexp_replace("chapter_key", "^c:", "").alias("chapter")
 
 
 @query(f"WITH {_WORDS} SELECT source_id, pdf_page, count(*) AS n, count(DISTINCT word) AS distinct_words FROM word GROUP BY 1, 2")
@@ -391,13 +395,13 @@ def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WORDS} SELECT book, w AS word, base FROM fold")
 def plural_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terms(spark, sf_dir).folds().select(_BOOK, "word", "base")
+    return _terms(spark, sf_dir).folds().select(_book(), "word", "base")
 
 
 @query(f"WITH {_TALLY} SELECT book, chapter, term, n AS count, size, total AS book_count, book_size FROM scored")
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
-    return t.counts(t.tallies()).select(_BOOK, _CHAPTER, "term", "count", "size", "book_count", "book_size")
+    return t.counts(t.tallies()).select(_book(), _chapter(), "term", "count", "size", "book_count", "book_size")
 
 
 @query(
@@ -406,13 +410,13 @@ SELECT book, term, written AS shown FROM spelled QUALIFY row_number() OVER (PART
 )
 def term_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
-    return t.display(t.tallies()).select(_BOOK, "term", "shown")
+    return t.display(t.tallies()).select(_book(), "term", "shown")
 
 
 @query(f"WITH {_TALLY} SELECT book, chapter, term, round(score, 9) AS score FROM score")
 def term_distinctiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
-    return t.scored(t.counts(t.tallies())).select(_BOOK, _CHAPTER, "term", F.round("score", 9).alias("score"))
+    return t.scored(t.counts(t.tallies())).select(_book(), _chapter(), "term", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -421,7 +425,7 @@ CAST(row_number() OVER (PARTITION BY book, chapter ORDER BY score DESC, term) AS
 )
 def term_candidates_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
-    return t.candidates(t.counts(t.tallies())).select(_BOOK, _CHAPTER, "term", "count", F.round("score", 6).alias("score"), "cut_rank")
+    return t.candidates(t.counts(t.tallies())).select(_book(), _chapter(), "term", "count", F.round("score", 6).alias("score"), "cut_rank")
 
 
 @query(
@@ -430,14 +434,14 @@ SELECT book, chapter, term, source_id, pdf_page FROM paged QUALIFY row_number()
 )
 def densest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
-    return t.densest(t.tallies()).select(_BOOK, _CHAPTER, "term", "source_id", "pdf_page")
+    return t.densest(t.tallies()).select(_book(), _chapter(), "term", "source_id", "pdf_page")
 
 
 @query()
 def terms_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
     kept = prune(t.candidates(t.counts(t.tallies())).withColumn("final_rank", F.col("cut_rank")))
-    return kept.select(_BOOK, _CHAPTER, "term", "count", "term_rank")
+    return kept.select(_book(), _chapter(), "term", "count", "term_rank")
 
 
 @query()
