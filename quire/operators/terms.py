@@ -10,6 +10,7 @@ from quire import constants as C
 from quire.functions import text as T
 from quire.functions.vector import dot
 from quire.operators.chunks import unique_sentences
+from quire.runtime import ship
 
 CHAPTER = ["book", "chapter_key"]
 
@@ -148,6 +149,7 @@ def prune(candidates: DataFrame, top: int = C.DEFAULT_TOP) -> DataFrame:
     """
     if top < 1:
         raise ValueError(f"top must be at least 1, got {top}")
+    ship(candidates.sparkSession)
     cols = candidates.select(*CHAPTER, "term", "count", "final_rank")
     return cols.groupBy(*CHAPTER).applyInPandas(lambda pdf: prune_frame(pdf, top), "book string, chapter_key string, term string, count bigint, final_rank int, term_rank int")
 

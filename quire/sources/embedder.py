@@ -7,12 +7,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quire import constants as C
 from quire.errors import ModelUnavailableError
 from quire.functions.vector import HASH_DIM, hashing_embedding
+from quire.runtime import ship
 
 
 def check_tier(tier: str) -> str:
@@ -52,6 +53,7 @@ class ModelEmbedder:
 
     def embed(self, text: Column) -> Column:
         tier, load = self.tier, self.load
+        ship(SparkSession.getActiveSession())
 
         @F.pandas_udf("array<float>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

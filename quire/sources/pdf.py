@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions.cite import resolve_author, resolve_title
 from quire.functions.text import strip
+from quire.runtime import ship
 
 #: bytes -> (spans, outline, info): lists of dicts without source_id, and {"title", "author", "pages"}.
 Decoder = Callable[[bytes], tuple[list[dict], list[dict], dict]]
@@ -46,6 +47,7 @@ def decode(files: DataFrame, decoder: Decoder = default_decoder) -> DataFrame:
 
     A file that can't be decoded is a row with its failure; it doesn't stop the others.
     """
+    ship(files.sparkSession)
     span = "array<struct<" + ", ".join(x.replace(" ", ":", 1) for x in schemas.SPANS.split(", ")[1:]) + ">>"
     toc = "array<struct<" + ", ".join(x.replace(" ", ":", 1) for x in schemas.TOC.split(", ")[1:]) + ">>"
 
