@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ class TermTables:
         key = chapter_key(F.col("chapter"), F.col("source_id"))
         self.words = each.groupBy("book", key.alias("chapter_key"), "source_id", "ordinal", "pdf_page", F.col("w.word").alias("word"), F.col("w.next").alias("next")).agg(
             F.count("*").alias("n"), F.min(place).alias("first")
-        )
+        ).persist(StorageLevel.MEMORY_AND_DISK)  # read by the vocabulary, the folds and the tallies
 
     def vocabulary(self) -> DataFrame:
         return self.words.select("book", F.lower("word").alias("word")).distinct()
