@@ -8,12 +8,11 @@ absent (tests, a laptop) is a temporary folder made.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +21,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-_local: list[str] = []
+from quire.runtime import ship
 
+# Python workers outlive their tasks: with the system allocator, trim() gives freed Arrow memory back as well.
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _malloc_trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _malloc_trim = None
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, wherever the driver found it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="quire-ship-")
-    _local.append(folder)
-    archive = Path(folder) / "quire_pkg.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, Path(root.name) / p.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
+_local: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -100,6 +91,13 @@ def tasks_of(spark: SparkSession, df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts pass `most` bytes, so that scratch arrays stay small; a longer text is alone."""
     if not batch.num_rows:
@@ -110,6 +108,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         base = size[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(size, base + most, side="right")))
         yield batch.slice(at, to - at)
+        trim()
         at = to
 
 

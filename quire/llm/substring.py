@@ -38,7 +38,6 @@ PART_BYTES = 12 << 20
 RANGE_BITS = 24
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_ids = WordIds(hash_words)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +75,7 @@ def part_windows(uri: str, skip: set[int], window: int) -> tuple[np.ndarray, np.
     """Both hashes of all windows of a part file, without the rows in skip."""
     fs, path = open_fs(uri)
     found: list[list[np.ndarray]] = []
+    ids = WordIds(hash_words)
     with fs.open_input_file(path) as source:
         row = 0
         for batch in pq.ParquetFile(source).iter_batches(batch_size=4096, columns=["text"]):
@@ -83,7 +83,7 @@ def part_windows(uri: str, skip: set[int], window: int) -> tuple[np.ndarray, np.
                 keep = np.array([row + i not in skip for i in range(part.num_rows)])
                 row += part.num_rows
                 flat, offsets = split_words(part.column("text").filter(pa.array(keep)))
-                codes, hashes = _ids(flat)
+                codes, hashes = ids(flat)
                 found.append(window_hashes(np.array(hashes, np.uint64)[codes] if len(flat) else np.zeros(0, np.uint64), offsets, window))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)

@@ -31,7 +31,7 @@ def default_path() -> str:
 class Lexicon:
     """Ids of texts under one tokenizer file; `most` bounds the runs that are kept."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,8 +42,8 @@ class Lexicon:
 
     def clear(self) -> None:
         self.words = pa.array([], pa.large_string())
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def pretoken_ok(self) -> bool:
@@ -94,8 +94,8 @@ class Lexicon:
         flat = np.fromiter((x for ids in out for x in ids), np.uint32, int(lengths.sum()))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.words = pa.concat_arrays([self.words, new])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.starts = np.concatenate([self.starts, starts])
+        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+        self.starts = np.concatenate([self.starts, starts.astype(np.int32)])
         self.ids = np.concatenate([self.ids, flat])
 
     def encode_flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +115,8 @@ class Lexicon:
             where = np.asarray(where.fill_null(-1)).astype(np.int64)
             where[where < 0] = np.arange(len(self.words) - int((where < 0).sum()), len(self.words))
         at = np.asarray(where)[np.asarray(coded.indices)]
-        lengths = self.lengths[at]
-        ids = self.ids[ranges(self.starts[at], lengths)]
+        lengths = self.lengths[at].astype(np.int64)
+        ids = self.ids[ranges(self.starts[at].astype(np.int64), lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         return ids, ends[offsets]
 
@@ -147,6 +147,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") ->
     """Slices of the input with the ids of their texts and each text's offsets."""
     lex = lexicon(path)
     for batch in batches:
-        for part in slices(batch, text, 6 << 20):
+        for part in slices(batch, text, 3 << 20):
             ids, offsets = lex.encode_flat(part.column(text))
             yield part, ids, offsets

@@ -26,7 +26,7 @@ def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class WordIds:
     """Distinct words of each batch, numbered; what is derived from a word is derived once and kept, within bounds."""
 
-    def __init__(self, derive, most: int = 400_000):
+    def __init__(self, derive, most: int = 150_000):
         self.derive, self.most, self.known = derive, most, {}
 
     def __call__(self, flat: pa.Array) -> tuple[np.ndarray, list]:
