@@ -131,7 +131,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     total = plan.groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     repeated = total.where("__rows > 1").limit(1).count() > 0
     named = total.where("__copies > 0").select(F.col("doc_id").alias("__doc"), "__copies", "__rows")
-    got = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    # merged, not broadcast while small: the plan is the same at every size
+    got = docs.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")))
     times = F.col("__copies")
     if repeated:
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

@@ -170,7 +170,8 @@ def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42
     found = ws.save(near_duplicates(docs, bits, shingle, seed).select("doc_id", "component_id"), "found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # merged, not broadcast while small: the plan is the same at every size
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if repeated:
         known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
         kept = known.unionByName(kept.where("doc_id is null"))
