@@ -3,9 +3,10 @@
 A page is read as blocks of text, each with its tag path (element names and classes from the root to the block).
 Per path, text length and punctuation are summed over its blocks and divided by their number; both ratios are
 smoothed over neighbouring blocks and fused to one score, and paths below a share of the scores' deviation are
-no content. As a path's blocks stand or fall together, a one-word paragraph stays with its long siblings. The
-content element is the one that holds the text of the chosen paths; headings, lists and tables inside it stay
-too, unless they are mostly links. Elements that say they are something else (nav, header, footer, aside, form,
+no content. As a path's blocks stand or fall together, a one-word paragraph stays with its long siblings. Every
+block of a chosen path stays, wherever it is; so do the other blocks of the articles (else of the deepest element)
+that hold chosen text, lists and tables between chosen blocks, and headings with text that stays below them, unless
+they are mostly links. Elements that say they are something else (nav, header, footer, aside, form,
 scripts, notices, adverts, comments, hidden parts) never count.
 """
 
@@ -35,6 +36,10 @@ _BLOCK = frozenset(
 )
 _OFF = frozenset("nav footer aside form button dialog menu head label input option fieldset legend search canvas audio video map applet".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ITEMS = frozenset("li dt dd td th tr caption".split())
+#: Parts of a text, never the element that holds it all.
+_PARTS = frozenset("p ul ol menu li dl dt dd blockquote pre figure figcaption details summary h1 h2 h3 h4 h5 h6".split())
+_PAGE = frozenset("# html body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|header|masthead|footer|sidebar|side|rail|ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|related|recommended|recommendations|teaser|teasers|share|sharing|social|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|respond|reply|replies|discussion|widget|widgets|toolbar|pagination|pager|skip|hidden|copyright|disclaimer|legal)(?=$|[\s_-])",
@@ -183,38 +188,73 @@ def main_text(page: str | None) -> str:
     if best is None:
         return ""
     chosen = {p for p in score if p not in dense and (score[p] >= least or p == best)}
-    root = content_element([b for b in live if b.element.path in chosen])
-    kept = [b for b in live if b.element.path not in dense and within(b.element, root)]
-    if root.name in ("#", "html", "body"):  # no element holds the article alone: paths decide
-        kept = [b for b in kept if b.element.path in chosen or b.element.name in _HEADINGS]
-    return "\n".join(b.text for b in kept)
+    at = [k for k, b in enumerate(live) if b.element.path in chosen]
+    roots = content_elements([live[k] for k in at])
+    stays = [b.element.path in chosen or b.element.path not in dense and within(b.element, roots) for b in live]
+    frame = common_element([live[k].element for k in at])
+    for k in range(at[0], at[-1]):
+        b = live[k]
+        stays[k] |= b.element.name in _ITEMS and b.element.path not in dense and within(b.element, {frame})
+    below: set[int] = set()  # ranks of headings that would have text that stays
+    for k in range(len(live) - 1, -1, -1):
+        name = live[k].element.name
+        if name not in _HEADINGS:
+            below = below if not stays[k] else set(range(1, 7))
+            continue
+        rank = int(name[1])
+        stays[k] |= live[k].element.path not in dense and (rank in below or not roots)
+        below = {r for r in below if r < rank}
+        if stays[k]:
+            below |= set(range(1, rank))
+    return "\n".join(b.text for b, s in zip(live, stays) if s)
 
 
-def within(element: Element | None, root: Element) -> bool:
+def within(element: Element | None, roots: set[Element]) -> bool:
     while element is not None:
-        if element is root:
+        if element in roots:
             return True
         element = element.parent
     return False
 
 
-def content_element(chosen: list[Block]) -> Element:
-    """An article or main element with most of the chosen text, else the deepest element with HOLDS of it."""
-    held: dict[int, int] = defaultdict(int)
-    known: dict[int, tuple[Element, int]] = {}
+def chain(element: Element | None) -> list[Element]:
+    """The elements from the root to this one."""
+    found = []
+    while element is not None:
+        found.append(element)
+        element = element.parent
+    return found[::-1]
+
+
+def common_element(elements: list[Element]) -> Element:
+    """The smallest element that holds all of these."""
+    shared = chain(elements[0])
+    for e in dict.fromkeys(elements):
+        own = set(chain(e))
+        while shared[-1] not in own:
+            shared.pop()
+    return shared[-1]
+
+
+def content_elements(chosen: list[Block]) -> set[Element]:
+    """The articles that have chosen text, else the main elements, else the deepest element with HOLDS of it; none if that is the page."""
+    held: dict[Element, int] = defaultdict(int)
+    depth: dict[Element, int] = {}
     for b in chosen:
-        chain, e = [], b.element
-        while e is not None:
-            chain.append(e)
-            e = e.parent
-        for depth, e in enumerate(reversed(chain)):
-            held[id(e)] += len(b.text)
-            known[id(e)] = (e, depth)
+        for d, e in enumerate(chain(b.element)):
+            held[e] += len(b.text)
+            depth[e] = d
+    for name in ("article", "main"):
+        marked = {e for e in held if e.name == name}
+        if marked:
+            return marked
     total = sum(len(b.text) for b in chosen)
-    marked = [(held[k], d, e) for k, (e, d) in known.items() if e.name in ("article", "main") and held[k] >= 0.5 * total]
-    if marked:
-        return max(marked, key=lambda x: x[1])[2]
-    return max(((d, held[k], e) for k, (e, d) in known.items() if held[k] >= HOLDS * total and e.name != "p"), key=lambda x: x[:2])[2]
+    deepest = max((e for e in held if held[e] >= HOLDS * total and e.name != "p"), key=lambda e: (depth[e], held[e]))
+    wide = deepest
+    while wide.name in _PARTS:
+        wide = wide.parent
+    best = deepest if wide.name in _PAGE else wide
+    return set() if best.name in _PAGE else {best}
 
 
 def extract(pages: DataFrame) -> DataFrame:

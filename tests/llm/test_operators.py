@@ -284,6 +284,21 @@ def test_html(spark):
     assert got[(4, "u", "plain <text>", 12)] == 2 and got[(6, "u", "A one.", 6)] == 1 and sum(got.values()) == len(rows)
 
 
+LONG = "One long sentence, with a clause, and then another, which goes on for a while. "
+
+
+def test_html_chosen_text_outside_one_element_stays():
+    body = f"<p>{LONG * 4}</p>"
+    assert html_text.main_text(f"<main><h1>Title</h1><p>{LONG}</p><article>{body}</article></main>").split("\n") == ["Title", LONG.strip(), (LONG * 4).strip()]
+    two = html_text.main_text(f"<body><article>{body * 3}</article><article>{body * 2}<ul><li>item</li></ul></article></body>")
+    assert two.split("\n") == [(LONG * 4).strip()] * 5 + ["item"]
+    assert html_text.main_text(f"<div id=content><h1>T</h1><div class=text>{body * 3}</div></div>").startswith("T\n")
+    parts = html_text.main_text(f"<div><div class=one>{body * 17}</div><div class=two>{body * 3}</div></div>")
+    assert parts.count("One long") == 80
+    listed = html_text.main_text(f"<div id=c><p>Start.</p><ul>{f'<li>{LONG * 3}</li>' * 9}</ul><p>End.</p></div>").split("\n")
+    assert listed[0] == "Start." and listed[-1] == "End." and len(listed) == 11
+
+
 def labelled(n=400):
     rng = random.Random(9)
     rows, labels = [], []
