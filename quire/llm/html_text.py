@@ -16,6 +16,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,10 +42,20 @@ _ITEMS = frozenset("li dt dd td th tr caption".split())
 _PARTS = frozenset("p ul ol menu li dl dt dd blockquote pre figure figcaption details summary h1 h2 h3 h4 h5 h6".split())
 _PAGE = frozenset("# html body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|header|masthead|footer|sidebar|side|rail|ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|related|recommended|recommendations|teaser|teasers|share|sharing|social|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|respond|reply|replies|discussion|widget|widgets|toolbar|pagination|pager|skip|hidden|copyright|disclaimer|legal)(?=$|[\s_-])",
-    re.I,
+#: Elements whose names (class and id) can say that they are no content.
+_CONTAINERS = frozenset("div section ul ol dl li table tbody tr td center details figure".split())
+_COMMENTS = frozenset("comment comments commentlist commentarea disqus respond reply replies".split())
+#: A name is off if it is made of these words and at least one of them is telling by itself, or if it is listed whole.
+_TELLING = _COMMENTS | frozenset(
+    "nav navbar navigation menu menus footer masthead sidebar sidebars ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe signup login teaser teasers sharing breadcrumb breadcrumbs toolbar pagination pager hidden".split()
 )
+_NEUTRAL = frozenset(
+    "site page entry article main top bottom primary secondary global post posts user box list wrapper wrap container area section block bar banner notice notices message overlay slot unit item items link links inner outer body content form title header text author meta thread tree count view widget widgets panel fb wp google".split()
+)
+_WHOLE = frozenset(
+    "banner rail notification alert related-posts related-articles related-links related-stories related-content recommended-posts recommended-articles recommended-links share-buttons share-links share-bar share-icons social-share social-links social-icons social-buttons social-bar skip-link skip-links skip-nav skip-navigation cookie-banner legal-notice legal-links".split()
+)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _ENDS_P = _BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
@@ -67,6 +78,24 @@ class Block:
         self.element, self.text, self.links = element, text, links
 
 
+@lru_cache(1 << 14)
+def name_off(name: str, words: frozenset[str]) -> bool:
+    """Whether a whole class or id says by these telling words that its element is no content."""
+    parts = [x for x in re.split(r"[-_]+", _CAMEL.sub("-", name).lower()) if x and not x.isdigit()]
+    return any(x in words for x in parts) and all(x in words or x in _NEUTRAL for x in parts)
+
+
+def says_off(name: str, classes: list[str], own_id: str, in_text: bool) -> bool:
+    """Articles are only off as comments; ids of sections are mostly slugs of their headings, so only comments count there."""
+    if name == "article":
+        return any(name_off(x, _COMMENTS) for x in (*classes, own_id))
+    if any(name_off(x, _TELLING) or x.lower() in _WHOLE or x.lower() == "header" and not in_text for x in classes):
+        return True
+    if name == "section":
+        return name_off(own_id, _COMMENTS)
+    return name_off(own_id, _TELLING) or own_id.lower() in _WHOLE or own_id.lower() == "header" and not in_text
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order; markup that is not closed or not nested is mended as browsers do."""
     root = Element("#", None, "", False)
@@ -137,8 +166,9 @@ def blocks_of(page: str) -> list[Block]:
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attributes)}
             mark = " ".join(sorted(found.get("class", "").split()))
-            off |= bool(_NAMES.search(f"{found.get('class', '')} {found.get('id', '')}")) and name not in ("html", "body", "article", "main")
-            off |= name in ("article", "section", "div") and bool(re.search(r"comment|repl(?:y|ies)", found.get("class", "") + found.get("id", ""), re.I))
+            if not off and (name in _CONTAINERS or name == "article") and ("class" in found or "id" in found):
+                in_text = name == "article" or any(e.name in ("article", "main") for e in stack)
+                off = says_off(name, (found.get("class") or "").split(), found.get("id") or "", in_text)
             off |= found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
             off |= "display:none" in found.get("style", "").replace(" ", "").lower()
         parent = stack[-1]

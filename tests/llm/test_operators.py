@@ -299,6 +299,19 @@ def test_html_chosen_text_outside_one_element_stays():
     assert listed[0] == "Start." and listed[-1] == "End." and len(listed) == 11
 
 
+def test_html_names_in_the_text_are_no_boilerplate():
+    heads = {"related-work": "Related work", "legal-issues": "Legal", "side-effects": "Side effects", "share-prices": "Shares"}
+    page = "<article>" + "".join(f"<h2 id='{k}'>{v}</h2><p>{LONG * 2}</p>" for k, v in heads.items())
+    page += f"<section id='discussion'><h2>Discussion</h2><p>{LONG * 2}</p></section><section id='navigation'><p>{LONG * 2}</p></section></article>"
+    got = html_text.main_text(page).split("\n")
+    assert [x for x in got if x != (LONG * 2).strip()] == [*heads.values(), "Discussion"] and len(got) == 11
+    for mark in ("<article class='commentary'>", "<div class='commentary'>", "<div class='reply-all-culture'>"):
+        assert html_text.main_text(f"{mark}<p>{LONG}</p>") == LONG.strip()
+    off = ("comment-list", "comments", "commentList", "comment-123", "ad-box", "cookie-notice", "site-footer", "nav-menu", "sidebar", "related-posts", "header")
+    for mark in off:
+        assert html_text.main_text(f"<div class='{mark}'><p>{LONG}</p></div><div><p>{LONG * 2}</p></div>") == (LONG * 2).strip(), mark
+
+
 def labelled(n=400):
     rng = random.Random(9)
     rows, labels = [], []
