@@ -156,6 +156,15 @@ def test_lexicon_equals_whole_texts(rows):
     assert lex.by_run and all(g.tolist() == w.ids for g, w in zip(got, whole))
 
 
+def test_lexicon_equals_whole_for_every_letter():
+    lex = lexicon(default_path())
+    texts = [f"{chr(c)}stanbul a{chr(c)}b, {chr(c)}" for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and chr(c).lower() != chr(c)]
+    texts += [chr(c) + "x" for c in range(33, 0x180)] + ["İSTANBUL İzmir, the İ."]
+    got = lex.encode(pa.array(texts, pa.string()))
+    whole = lex.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert lex.by_run and lex.direct and [t for t, g, w in zip(texts, got, whole) if g.tolist() != w.ids] == []
+
+
 def test_packing(spark, docs, rows):
     got = packing.pack(docs, size=256).collect()
     lex, want = lexicon(default_path()), collections.Counter()
