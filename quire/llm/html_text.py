@@ -5,8 +5,9 @@ Per path, text length and punctuation are summed over its blocks and divided by
 smoothed over neighbouring blocks and fused to one score, and paths below a share of the scores' deviation are
 no content. As a path's blocks stand or fall together, a one-word paragraph stays with its long siblings. Every
 block of a chosen path stays, wherever it is; so do the other blocks of the articles (else of the deepest element)
-that hold chosen text, lists and tables between chosen blocks, and headings with text that stays below them, unless
-they are mostly links. Elements that say they are something else (nav, header, footer, aside, form,
+that hold chosen text, lists and tables between chosen blocks, and headings with text that stays below them. Blocks
+that are mostly links, in lists that are so too, count for no path; they stay in articles, beside chosen blocks, and
+where a page has nothing else. Elements that say they are something else (nav, header, footer, aside, form,
 scripts, notices, adverts, comments, hidden parts) never count.
 """
 
@@ -195,36 +196,43 @@ def main_text(page: str | None) -> str:
     live = [b for b in blocks_of(page or "") if not b.element.off and not in_article_header(b.element)]
     if not live:
         return ""
-    length, marks, linked, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    dense = mostly_links(live)
+    if len(dense) == len(live):
+        dense = set()
+    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in live:
-        path = b.element.path
-        length[path] += len(b.text) - b.links
-        linked[path] += b.links
-        marks[path] += len(_PUNCTUATION.findall(b.text))
-        count[path] += 1
+        if b not in dense:
+            path = b.element.path
+            length[path] += len(b.text) - (b.links if b.element.name not in _HEADINGS else 0)
+            marks[path] += len(_PUNCTUATION.findall(b.text))
+            count[path] += 1
     # ratios per path, smoothed over the sequence of blocks, then averaged per path again and fused
-    own = [(length[p] / count[p], marks[p] / count[p]) for p in (b.element.path for b in live)]
+    own = [(0.0, 0.0) if b in dense else (length[p] / count[p], marks[p] / count[p]) for b, p in ((b, b.element.path) for b in live)]
     smooth = defaultdict(lambda: [0.0, 0.0])
     for k, b in enumerate(live):
-        near = [own[max(0, k - 1)], own[k], own[k], own[min(len(own) - 1, k + 1)]]
-        for i in (0, 1):
-            smooth[b.element.path][i] += sum(x[i] for x in near) / 4 / count[b.element.path]
+        if b not in dense:
+            near = [own[max(0, k - 1)], own[k], own[k], own[min(len(own) - 1, k + 1)]]
+            for i in (0, 1):
+                smooth[b.element.path][i] += sum(x[i] for x in near) / 4 / count[b.element.path]
     score = {p: t * (1 + m) for p, (t, m) in smooth.items()}
-    values = [score[b.element.path] for b in live]
+    values = [0.0 if b in dense else score[b.element.path] for b in live]
     mean = sum(values) / len(values)
     least = DEVIATIONS * (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
-    dense = {p for p in length if linked[p] > length[p]}  # more link text than other text
-    best = max((p for p in length if p not in dense), key=lambda p: length[p], default=None)
-    if best is None:
-        return ""
-    chosen = {p for p in score if p not in dense and (score[p] >= least or p == best)}
-    at = [k for k, b in enumerate(live) if b.element.path in chosen]
+    best = max((b.element.path for b in live if b not in dense), key=lambda p: length[p])
+    chosen = {p for p in score if score[p] >= least or p == best}
+    at = [k for k, b in enumerate(live) if b.element.path in chosen and b not in dense]
     roots = content_elements([live[k] for k in at])
-    stays = [b.element.path in chosen or b.element.path not in dense and within(b.element, roots) for b in live]
+    articles = {e for e in roots if e.name in ("article", "main")}
+    beside = {live[k].element.parent for k in at if live[k].element.name not in _ITEMS}
     frame = common_element([live[k].element for k in at])
-    for k in range(at[0], at[-1]):
-        b = live[k]
-        stays[k] |= b.element.name in _ITEMS and b.element.path not in dense and within(b.element, {frame})
+    stays = []
+    for k, b in enumerate(live):
+        if b in dense:
+            top = list_of(b.element) or b.element
+            stays.append(within(b.element, articles) or top.parent in beside and top.parent.name not in _PAGE)
+        else:
+            between = at[0] < k < at[-1] and b.element.name in _ITEMS and within(b.element, {frame})
+            stays.append(b.element.path in chosen or between or within(b.element, roots))
     below: set[int] = set()  # ranks of headings that would have text that stays
     for k in range(len(live) - 1, -1, -1):
         name = live[k].element.name
@@ -232,13 +240,32 @@ def main_text(page: str | None) -> str:
             below = below if not stays[k] else set(range(1, 7))
             continue
         rank = int(name[1])
-        stays[k] |= live[k].element.path not in dense and (rank in below or not roots)
+        stays[k] |= rank in below or not roots
         below = {r for r in below if r < rank}
         if stays[k]:
             below |= set(range(1, rank))
     return "\n".join(b.text for b, s in zip(live, stays) if s)
 
 
+def list_of(element: Element) -> Element | None:
+    """The outermost list around an element, short of an article."""
+    found = None
+    while element is not None and element.name not in ("article", "main"):
+        if element.name in ("ul", "ol", "dl"):
+            found = element
+        element = element.parent
+    return found
+
+
+def mostly_links(live: list[Block]) -> set[Block]:
+    """Blocks with more link text than other text in lists that have so too, or in no list; headings never."""
+    surplus: dict[Element, int] = defaultdict(int)
+    own = [list_of(b.element) or b.element for b in live]
+    for b, e in zip(live, own):
+        surplus[e] += 2 * b.links - len(b.text)
+    return {b for b, e in zip(live, own) if 2 * b.links > len(b.text) and surplus[e] > 0 and b.element.name not in _HEADINGS}
+
+
 def within(element: Element | None, roots: set[Element]) -> bool:
     while element is not None:
         if element in roots:

@@ -321,6 +321,19 @@ def test_html_names_in_the_text_are_no_boilerplate():
         assert html_text.main_text(f"<div class='{mark}'><p>{LONG}</p></div><div><p>{LONG * 2}</p></div>") == (LONG * 2).strip(), mark
 
 
+def test_html_links_in_the_article_stay():
+    sources = "".join(f"<li><a href=s>Source number {i}</a></li>" for i in range(9))
+    page = f"<div class=x><ul><li><a href=h>Home</a></li><li><a href=n>News of today</a></li></ul></div><article><h1><a href=t>Title</a></h1><p>{LONG * 2}</p><h2><a href=p>Part</a></h2><p>{LONG * 2}</p><ul>{sources}</ul></article>"
+    got = html_text.main_text(page).split("\n")
+    assert got == ["Title", (LONG * 2).strip(), "Part", (LONG * 2).strip(), *[f"Source number {i}" for i in range(9)]]
+    div = html_text.main_text(page.replace("article>", "div>")).split("\n")
+    assert div == got  # the menu goes, the sources stand beside the text
+    menu = "".join(f"<li><a href=s>A long title of another page, number {i}</a></li>" for i in range(30))
+    mixed = html_text.main_text(f"<body><div class=m><ul>{menu}</ul></div><div class=t><p>{LONG * 2}</p><ul><li>plain one</li><li>plain two</li></ul></div>")
+    assert mixed.split("\n") == [(LONG * 2).strip(), "plain one", "plain two"]
+    assert html_text.main_text("<article><h1><a href=t>Title</a></h1><ul><li><a href=s>Only link</a></li></ul></article>") == "Title\nOnly link"
+
+
 def labelled(n=400):
     rng = random.Random(9)
     rows, labels = [], []
