@@ -27,10 +27,12 @@ from .common import slices
 DEVIATIONS = 0.5
 HOLDS = 0.8
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|textarea|select|title|xmp|noembed|noframes)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|noembed|noframes)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S | re.I,
 )
+#: Skipped with all they hold where they are closed; where not, only the tag is.
+_SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in "noscript template iframe svg math object select".split()}
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -126,7 +128,10 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k].name in stop:
                 return
 
-    for m in _TOKEN.finditer(page):
+    at, unclosed = 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         token = m.group()
         if token[0] != "<" or token == "<":
             text = html.unescape(token)
@@ -144,6 +149,14 @@ def blocks_of(page: str) -> list[Block]:
             elif name not in _VOID:
                 close({name}, {"td", "th", "table", "body"} - {name} if name not in _BLOCK else {"body", "html"} - {name})
             continue
+        if name in _SKIPPED:
+            if not (name in ("svg", "math") and token.endswith("/>")) and name not in unclosed:
+                end = _SKIPPED[name].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            continue
         if name in _BLOCK:
             flush()
             if name in _ENDS_P:

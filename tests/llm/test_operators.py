@@ -334,6 +334,17 @@ def test_html_links_in_the_article_stay():
     assert html_text.main_text("<article><h1><a href=t>Title</a></h1><ul><li><a href=s>Only link</a></li></ul></article>") == "Title\nOnly link"
 
 
+def test_html_unclosed_and_self_closed_tags_swallow_nothing():
+    rest = f"<p>{LONG}</p>"
+    assert html_text.main_text('<p>a <svg class="i"/> b</p><p>rest of article</p>') == "a b\nrest of article"
+    assert html_text.main_text(f"<p>a <svg class=i /> b</p>{rest}<svg><title>t</title><text>no</text></svg><p>end</p>").split("\n") == ["a b", LONG.strip(), "end"]
+    for tag in ("svg", "math/", "object", "template", "iframe", "noscript", "select"):
+        assert html_text.main_text(f"<p>a <{tag}> b</p>{rest}") == "a b\n" + LONG.strip(), tag
+    for tag in ("script", "style", "svg", "noscript", "textarea"):
+        assert html_text.main_text(f"<p>a <{tag} x='>'> no </{tag}> b</p>{rest}") == "a b\n" + LONG.strip(), tag
+    assert html_text.main_text(f"{rest}<script>no") == LONG.strip()
+
+
 def labelled(n=400):
     rng = random.Random(9)
     rows, labels = [], []
