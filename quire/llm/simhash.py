@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Workspace, slices, tasks_of, texts
 from .components import components
@@ -141,13 +142,8 @@ def near_pairs(fps: DataFrame, ws: Workspace, bits: int = 3, tile: int = TILE) -
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
-
-    Edge cases: a null or empty text has fingerprint zero and links like any other; equal texts share a
-    fingerprint; a null doc_id gets a row and, when alone, a null component; an empty table gives no rows; other
-    columns are ignored.
-    """
+def labelled(docs: DataFrame, bits: int, shingle: int, seed: int) -> DataFrame:
+    """One row per document: doc_id, fp, component (a fingerprint of it, the same for all its rows), component_id."""
     ws = Workspace(docs.sparkSession, "simhash")
     own = ws.save(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = ws.save(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
@@ -156,23 +152,56 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
     # only fingerprints with links need more than their own smallest document
     linked = nodes.join(reached, "fp")
     lows = linked.groupBy("component").agg(F.min("low").alias("component_low"))
-    other = linked.join(lows, "component").select("fp", "component_low")
-    label = nodes.join(other, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
-    return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    other = linked.join(lows, "component").select("fp", "component", "component_low")
+    label = nodes.join(other, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_low", "low").alias("component_id"))
+    return own.join(label, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+
+    Edge cases: a null or empty text has fingerprint zero and links like any other; equal texts share a
+    fingerprint; a null doc_id gets a row and, when alone, a null component; an empty table gives no rows; other
+    columns are ignored.
+    """
+    found = labelled(docs, bits, shingle, seed)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_fingerprint(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """All columns of the documents, and fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts(part.column("text"))), np.uint64, part.num_rows)
+                yield part.append_column("fp", pa.array(fps.view(np.int64)))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fp", LongType())]))
 
 
 def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, with all their columns; one row for each doc_id.
+    """One row of each component, with all its columns: the one with the smallest doc_id.
 
-    A null doc_id can't be compared with others and stays.
+    Where a doc_id repeats, rows count one by one: a component that has several rows of its smallest doc_id keeps the
+    one with the smallest text hash, and different texts of one doc_id stay in their own components. A null doc_id
+    can't be compared with others and stays.
     """
     ws = Workspace(docs.sparkSession, "one-of-each")
-    found = ws.save(near_duplicates(docs, bits, shingle, seed).select("doc_id", "component_id"), "found")
+    found = ws.save(labelled(docs, bits, shingle, seed), "found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    many = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = many.limit(1).count() > 0
+    if repeated:
+        many = ws.save(many, "many")
+        gone = gone.unionByName(many).distinct()
     # merged, not broadcast while small: the plan is the same at every size
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if repeated:
-        known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = known.unionByName(kept.where("doc_id is null"))
+        # (doc_id, fp) names a row's component; equal ids in one component are told apart by their texts
+        lows = found.where("doc_id = component_id").select("doc_id", "fp", "component").join(many, "doc_id", "left_semi").distinct()
+        rows = with_fingerprint(docs.join(many.hint("merge"), "doc_id", "left_semi").select(*docs.columns), shingle, seed)
+        row = F.struct(F.sha2("text", 256).alias("text_hash"), *[F.col(c) for c in docs.columns])
+        first = rows.join(lows, ["doc_id", "fp"]).groupBy("component").agg(F.min(row).alias("row"))
+        kept = kept.unionByName(first.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
     return kept

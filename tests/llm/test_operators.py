@@ -63,6 +63,18 @@ def test_simhash(spark, docs, rows):
     assert sorted(r.doc_id for r in kept) == sorted(set(low.values()))
 
 
+def test_one_of_each_component_where_ids_repeat(spark):
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 200, 4000) for _ in range(4))
+    rows = [(5, a), (7, a), (5, b), (9, b), (7, c), (1, d), (9, d), (3, "one"), (3, "one"), (None, "one"), (2, a + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "") for i, t in rows], SCHEMA)
+    label = {r.doc_id: r for r in simhash.near_duplicates(docs.where("doc_id in (2, 5)")).collect()}
+    assert label[2].component_id == 2  # near copy of a
+    for df in (docs, docs.repartition(3)):
+        got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()), key=str)
+        assert got == sorted([(2, a + " tail"), (5, b), (7, c), (1, d), (3, "one"), (None, "one")], key=str)
+
+
 def test_near_pairs_in_hot_keys(spark):
     rng = random.Random(1)
     base = rng.getrandbits(64)
