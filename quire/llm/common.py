@@ -1,27 +1,17 @@
-"""What the operators share: scratch tables, shipping of the package, Arrow helpers.
-
-Scratch data lives under the folder the session names in ``spark.checkpoint.dir``, which every executor can
-read, so a lost executor costs a recomputed task and never a lost intermediate. Only where that setting is
-absent (tests, a laptop) is a temporary folder made.
-"""
+"""What the operators share: scratch tables (of `quire.scratch`) and Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import ship
+from quire.scratch import Workspace, open_fs, released
 
 # Python workers outlive their tasks: with the system allocator, trim() gives freed Arrow memory back as well.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -30,61 +20,6 @@ try:
 except (OSError, AttributeError):
     _malloc_trim = None
 
-_local: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quire-shared-")
-        _local.append(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return "file://" + base if base.startswith("/") else base
-
-
-@atexit.register
-def _remove_local() -> None:
-    for folder in _local:
-        shutil.rmtree(folder, ignore_errors=True)
-
-
-class Workspace:
-    """A scratch folder of one operator call in the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.uri = f"{shared_root(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.uri}/{name}"
-
-    def folder(self, name: str) -> str:
-        """A folder for files that tasks write themselves."""
-        uri = self.path(name)
-        fs, path = open_fs(uri)
-        fs.create_dir(path, recursive=True)
-        return uri
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it again: its lineage ends here."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        """Remove what no later step reads."""
-        fs, path = open_fs(self.path(name))
-        if fs.get_file_info(path).type == pafs.FileType.Directory:
-            fs.delete_dir(path)
-
-
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and the path of a URI (local, hdfs, s3, gs ...)."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
 
 def tasks_of(spark: SparkSession, df: DataFrame) -> int:
     """Shuffle width for work that this session's settings size."""
@@ -124,3 +59,6 @@ def crc32_text(column: F.Column) -> F.Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["Workspace", "crc32_text", "open_fs", "released", "slices", "table", "tasks_of", "texts", "trim"]
