@@ -186,15 +186,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
 
     Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, and
     so do vectors of different lengths with each other; equal vectors and repeated rows link with each other; a
-    null vec_id gets a row, and its links are counted; an empty table gives no rows; other columns are ignored.
+    row is a vector of its own whatever its vec_id, so different vectors of one vec_id are linked only by their
+    cosines; a null vec_id gets a row, and its links are counted; a group of null ids has a null component; an empty
+    table gives no rows; other columns are ignored.
     """
     ws = Workspace(vectors.sparkSession, "vectors")
     base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = base.where(usable())
-    # An id of its own for each distinct vector; negative where no member has a vec_id.
+    # A number for each distinct vector, fixed once written; a vec_id is only a label, as vectors may share it.
     grouped = rows.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-    ident = F.coalesce("low", F.xxhash64("embedding").bitwiseOR(F.lit(-(1 << 63))))
-    reps = ws.save(grouped.select(ident.alias("id"), "low", "copies", "embedding", F.size("embedding").alias("dim")), "distinct")
+    reps = ws.save(grouped.select(F.monotonically_increasing_id().alias("id"), "low", "copies", "embedding", F.size("embedding").alias("dim")), "distinct")
     dims = [r[0] for r in reps.select("dim").distinct().collect()]  # a handful of lengths
     found = [links(reps.where(F.col("dim") == d), ws, d, threshold, str(d)) for d in dims]
     if not found:
@@ -210,7 +211,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     lows = named.groupBy("component").agg(F.min("low").alias("component_low"))
     named = named.join(lows, "component").select("id", "component_low")
     full = reps.join(near.withColumnRenamed("a", "id"), "id", "left").join(named, "id", "left")
-    full = full.select("embedding", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component"))
-    linked = rows.join(full, "embedding").select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
+    full = full.select("embedding", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component_id"))
+    linked = rows.join(full, "embedding").select("vec_id", "n_links", "component_id")
     alone = base.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
