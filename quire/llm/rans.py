@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, open_fs
+from .common import Workspace, open_fs, tasks_of
 from .tokens import default_path, encoded
 
 BITS = 20
@@ -32,6 +32,8 @@ LANES = 1024
 BLOCK = 1 << 18
 SEGMENT = 1 << 22
 CHECKPOINT = 128
+#: Ids that a reading task takes, about.
+SPAN = 1 << 20
 MAGIC = b"QRANS001"
 LOW = np.uint64(1 << 31)
 
@@ -115,7 +117,7 @@ def encode_block(coded: np.ndarray, table: Table) -> tuple[bytes, list[tuple[int
 
 
 def decode_block(body: memoryview, n: int, table: Table, slots: np.ndarray, start: tuple[int, int, np.ndarray] | None = None) -> np.ndarray:
-    """Ids of a block, or of its steps from a checkpoint (step, word position, states) on."""
+    """The first n ids of a block, or those of them from a checkpoint (step, word position, states) on."""
     (lanes,) = struct.unpack_from("<I", body)
     x = np.frombuffer(body, "<u8", lanes, 4).copy()
     stream = np.frombuffer(body, "<u4", offset=4 + 8 * lanes)
@@ -210,12 +212,15 @@ class Reader:
         self.source.seek(at)
         return memoryview(self.source.read(n))
 
+    def lanes(self, block: dict) -> int:
+        return struct.unpack("<I", self.read(block["at"], 4))[0]
+
     def table(self, segment: dict) -> Table:
         end = segment["blocks"][0]["at"]
         return Table.read(self.read(segment["table"], end - segment["table"]))[0]
 
-    def block(self, block: dict, table: Table, slots: np.ndarray, mark: int | None = None) -> np.ndarray:
-        """Ids of a block (from its checkpoint `mark` on, if given)."""
+    def block(self, block: dict, table: Table, slots: np.ndarray, mark: int | None = None, until: int | None = None) -> np.ndarray:
+        """Ids of a block: from its checkpoint `mark` on, up to its id `until`, if given."""
         body = self.read(block["at"], block["size"])
         if zlib.crc32(body) != block["crc"]:
             raise ValueError(f"the block at {block['at']} is damaged")
@@ -224,20 +229,43 @@ class Reader:
             (lanes,) = struct.unpack_from("<I", body)
             states = np.frombuffer(self.read(block["states"] + 8 * lanes * mark, 8 * lanes), "<u8")
             start = (*block["marks"][mark], states)
-        return decode_block(body, block["ids"], table, slots, start)
+        return decode_block(body, block["ids"] if until is None else until, table, slots, start)
 
     def blocks(self) -> Iterator[np.ndarray]:
+        yield from self.stream(0, self.index["total"])
+
+    def stream(self, begin: int, end: int) -> Iterator[np.ndarray]:
+        """The ids from place `begin` to place `end`, a block or less at a time; starts at the last checkpoint before."""
+        at = 0
         for segment in self.index["segments"]:
+            size = sum(b["ids"] for b in segment["blocks"])
+            if at + size <= begin or at >= end:
+                at += size
+                continue
             table = self.table(segment)
             slots = table.slots()
             for block in segment["blocks"]:
-                yield self.block(block, table, slots)
-
-    def documents(self) -> Iterator[tuple[object, int, int]]:
-        """(document, number of ids, CRC-32 of its ids) in file order; holds one block at a time."""
-        stream, held, at = self.blocks(), np.zeros(0, np.uint32), 0
-        begin = 0
-        for doc, end in zip(self.index["docs"], self.index["ends"]):
+                n = block["ids"]
+                if at + n > begin and at < end:
+                    skip, until, mark, from_id = max(0, begin - at), min(n, end - at), None, 0
+                    if skip:
+                        lanes = self.lanes(block)
+                        passed = [k for k, (step, _) in enumerate(block["marks"]) if step * lanes <= skip]
+                        if passed:
+                            mark = passed[-1]
+                            from_id = block["marks"][mark][0] * lanes
+                    yield self.block(block, table, slots, mark, until)[skip - from_id :]
+                at += n
+
+    def documents(self, first: int = 0, last: int | None = None) -> Iterator[tuple[object, int, int]]:
+        """(document, number of ids, CRC-32 of its ids) of the documents from `first` to before `last`, in file order.
+
+        Holds one block at a time; what lies before and after these documents isn't decoded.
+        """
+        docs, ends = self.index["docs"][first:last], self.index["ends"][first:last]
+        begin = self.index["ends"][first - 1] if first else 0
+        stream, held, at = self.stream(begin, ends[-1] if ends else begin), np.zeros(0, np.uint32), 0
+        for doc, end in zip(docs, ends):
             crc, left = 0, end - begin
             while left:
                 if at == len(held):
@@ -249,6 +277,17 @@ class Reader:
             yield doc, end - begin, crc
             begin = end
 
+    def spans(self, size: int) -> list[tuple[int, int, int]]:
+        """The documents in runs of about `size` ids: (first, one past the last, ids before)."""
+        ends = np.array(self.index["ends"], np.int64)
+        found, first = [], 0
+        while first < len(ends):
+            begin = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, begin + size, side="right")))
+            found.append((first, last, begin))
+            first = last
+        return found
+
 
 def write_files(docs: DataFrame, folder: str, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
     """Tokenise documents and write them in ascending doc_id order (null first, ties by text), a file per range.
@@ -286,16 +325,30 @@ def _ranges(docs: DataFrame) -> int:
     return max(1, docs.rdd.getNumPartitions())
 
 
-def read_files(manifest: DataFrame) -> DataFrame:
-    """Decode the files of a manifest: doc_id, start, n_tokens, ids_crc32; files decode in parallel."""
+def read_files(manifest: DataFrame, span: int = SPAN) -> DataFrame:
+    """Decode the files of a manifest: doc_id, start, n_tokens, ids_crc32.
+
+    Files are cut in runs of documents of about `span` ids; each run is decoded on its own, from the checkpoint before
+    it, so a large file is the work of many tasks.
+    """
+    spark = manifest.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                fs, path = open_fs(uri)
+                with fs.open_input_file(path) as source:
+                    runs = Reader(source).spans(span)
+                columns = list(zip(*((uri, a, b, start + at) for a, b, at in runs))) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["path", "first", "last", "start"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, at in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+            for uri, first, last, at in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "last", "start"))):
                 fs, path = open_fs(uri)
                 rows = []
                 with fs.open_input_file(path) as source:
-                    for doc, n, crc in Reader(source).documents():
+                    for doc, n, crc in Reader(source).documents(first, last):
                         rows.append((doc, at, n, crc))
                         at += n
                 columns = list(zip(*rows)) or [[]] * 4
@@ -303,8 +356,9 @@ def read_files(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     placed = manifest.select("part", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
-    n = max(1, manifest.count())
-    return placed.repartitionByRange(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    runs = placed.repartitionByRange(max(1, min(files, tasks_of(spark, manifest))), "part").mapInArrow(cut, "path string, first long, last long, start long")
+    return runs.repartition(max(1, files, ids // span), "path", "first").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
