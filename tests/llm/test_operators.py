@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from quire.llm import embed_dedup, html_text, maxscore, mixing, packing, quality, rans, simhash, substring, toxicity
 from quire.llm.components import components
@@ -177,11 +179,29 @@ def test_lexicon_equals_whole_for_every_letter():
     assert lex.by_run and lex.direct and [t for t, g, w in zip(texts, got, whole) if g.tolist() != w.ids] == []
 
 
+def whole_ids(texts):
+    """Ids by the library itself, not by the lexicon under test."""
+    return [e.ids for e in Tokenizer.from_file(default_path()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+ALPHABETS = ["abcdeABCDE .,'", "İıIiŞşĞğÖöÜüßẞ .,", "éèÀÿÅå\u0301\u0308\u0327 .", "ΣσςΑάΏ .", "дЖЁё .!", "日本語テスト。 ", "🙂👍\u200d\ufe0f ", "0123456789.,- ", "\u00a0\u2003\u3000\u1680 a\n\t\x0b\x0c\x1c\x85", "<|endoftext|> startoftext", "ﬁﬀǅǆŉ …–—“”’", "'sdtmrevl LS "]
+
+
+def test_lexicon_equals_whole_texts_of_any_letters():
+    rng, texts = random.Random(11), []
+    for k in range(20_000):
+        letters = "".join(rng.sample(ALPHABETS, rng.randrange(1, 4))) if k % 4 else [chr(rng.choice((rng.randrange(1, 0x500), rng.randrange(0x1E00, 0x2100), rng.randrange(0xA000, 0xD7FF)))) for _ in range(8)] + [" "]
+        texts.append("".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))) + rng.choice(["", " <|endoftext|>x", " the end."]))
+    lex = lexicon(default_path())
+    wrong = [t for t, g, w in zip(texts, lex.encode(pa.array(texts, pa.string())), whole_ids(texts)) if g.tolist() != w]
+    assert lex.by_run and wrong == []
+
+
 def test_packing(spark, docs, rows):
     got = packing.pack(docs, size=256).collect()
-    lex, want = lexicon(default_path()), collections.Counter()
-    for r in rows:
-        ids = np.append(lex.encode(pa.array([r[1]], pa.string()))[0], 0).astype("<u4")
+    want = collections.Counter()
+    for r, own in zip(rows, whole_ids([r[1] for r in rows])):
+        ids = np.array([*own, 0], "<u4")
         for k, at in enumerate(range(0, len(ids), 256)):
             want[(r[0], k, at, len(ids[at : at + 256]), zlib.crc32(ids[at : at + 256]))] += 1
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
@@ -212,12 +232,16 @@ def test_best_two_fit_is_a_partition():
 
 
 def test_token_files(spark, docs, rows):
-    got = sorted(rans.round_trip(docs).collect(), key=lambda r: (r.doc_id, r.start))
-    lex, start = lexicon(default_path()), 0
-    for r, g in zip(sorted(rows, key=lambda r: r[0]), got, strict=True):
-        ids = np.append(lex.encode(pa.array([r[1]], pa.string()))[0], 1).astype("<u4")
-        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r[0], start, len(ids), zlib.crc32(ids))
-        start += len(ids)
+    ws = Workspace(spark, "t")
+    manifest = ws.save(rans.write_files(docs, ws.folder("files")), "manifest")
+    ordered = sorted(rows, key=lambda r: r[0])
+    for found in (rans.round_trip(docs), rans.read_files(manifest, span=700)):
+        got, start = sorted(found.collect(), key=lambda r: (r.doc_id, r.start)), 0
+        for r, own, g in zip(ordered, whole_ids([r[1] for r in ordered]), got, strict=True):
+            ids = np.array([*own, 1], "<u4")
+            assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r[0], start, len(ids), zlib.crc32(ids))
+            start += len(ids)
+    assert rans.read_files(manifest, span=700).rdd.getNumPartitions() > 5
     assert rans.round_trip(empty(spark)).count() == 0
 
 
@@ -242,6 +266,15 @@ def test_rans_blocks_checkpoints_and_damage(monkeypatch):
     assert block["marks"]
     for k, (step, _) in enumerate(block["marks"]):
         assert (reader.block(block, table, table.slots(), k) == whole[step * 16 :]).all()
+    ends = np.cumsum([len(ids[k : k + 7000]) for k in range(0, len(ids), 7000)])
+    for size in (1, 9000, 20_000):  # runs of documents that begin inside blocks
+        runs = reader.spans(size)
+        assert [d for a, b, _ in runs for d in reader.documents(a, b)] == list(reader.documents())
+        assert all(at == (ends[a - 1] if a else 0) for a, _, at in runs)
+    decoded = []
+    monkeypatch.setattr(rans, "decode_block", lambda body, n, t, s, start=None, f=rans.decode_block: decoded.append(n - (start[0] * 16 if start else 0)) or f(body, n, t, s, start))
+    list(reader.documents(3, 4))
+    assert sum(decoded) <= 7000 + 128 * 16  # only the document and what its checkpoint leaves before it
     broken = bytearray(data)
     broken[block["at"] + 100] ^= 1
     with pytest.raises(ValueError):
@@ -263,6 +296,50 @@ def vectors(spark):
     return rows
 
 
+def brute_top(rows, k, every=20):
+    """{query id: [(rank, id, score)]} in whole numbers."""
+    good = [(i, [math.floor(64 * float(c)) for c in v]) for i, v in rows]
+    asked = {i: min(v for j, v in good if j == i) for i, _ in good if i % every == 0}
+    found = {}
+    for i, v in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i)[:k]
+        found[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return found
+
+
+@pytest.mark.parametrize("scale", [1.0, 2e3, 3e5, 5e6])
+def test_maxscore_is_exact_for_large_components(spark, scale, monkeypatch):
+    monkeypatch.setattr(maxscore, "FIRST", 32)
+    rng = np.random.default_rng(6)
+    rows = [(i, (scale * v).tolist()) for i, v in enumerate(rng.normal(size=(200, 9)))]
+    rows += [(40, (scale * np.ones(9)).tolist()), (7, rows[7][1]), (None, rows[3][1])]  # an id that repeats, equal rows, no id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in maxscore.top_k(df, k=9).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == brute_top([r for r in rows if r[0] is not None], 9)
+
+
+def test_maxscore_beyond_a_long_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError"):
+        maxscore.top_k(df).collect()
+    small = spark.createDataFrame([(0, [1e12, 1.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in maxscore.top_k(small).collect()] == [(0, 1, 1, 64 * 128)]
+
+
+def test_maxscore_multiplies_less_than_brute_force():
+    rng = np.random.default_rng(1)
+    x = np.floor(64 * rng.normal(size=(20_000, 32)) * np.linspace(1.5, 0.1, 32))
+    ids = np.arange(len(x))
+    found, products = maxscore.search_shard(ids, x, ids[:400:20], x[:400:20], 10)
+    assert products < 0.6 * 20 * x.size
+    for i, best in zip(ids[:400:20], found):
+        score = x @ x[i]
+        score[i] = -np.inf
+        assert best.ids.tolist() == np.lexsort((ids, -score))[:10].tolist()
+
+
 def test_maxscore(spark, vectors):
     got = collections.defaultdict(list)
     for r in maxscore.top_k(spark.createDataFrame(vectors, VECTORS).repartition(3), k=7).collect():
@@ -290,6 +367,14 @@ def test_embedding_near_duplicates(spark, vectors, monkeypatch):
     assert embed_dedup.near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_embedding_near_duplicates_where_ids_repeat_or_are_null(spark):
+    e = [[1.0, 0, 0], [0.99, 0.05, 0], [0, 1.0, 0], [0, 0.99, 0.05], [0, 0, 1.0], [0, 0.02, 0.99]]
+    rows = [(7, e[0]), (3, e[1]), (7, e[2]), (None, e[3]), (None, e[4]), (None, e[5]), (None, None), (9, e[2]), (7, [0.0, 0, 0])]
+    got = embed_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(7, 1, 3, False), (3, 1, 3, True), (7, 2, 7, True), (None, 2, 7, False), (None, 1, None, False), (None, 1, None, False), (None, 0, None, False), (9, 2, 7, False), (7, 0, 7, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
 <div class="menu"><ul><li><a href=x>A</a><li><a href=y>B</a></ul></div><div id=content><h1>Head &amp; line</h1><p>One two, three. Long   text
 goes here, really.</p><p>Short.<p>Open <b>bold<br>line</p><ul><li>item one, x</li></ul><div class="ad-box">Buy now</div></div>
