@@ -2,12 +2,14 @@
 
 A page is read as blocks of text, each with its tag path (element names and classes from the root to the block).
 Per path, text length and punctuation are summed over its blocks and divided by their number; both ratios are
-smoothed over neighbouring blocks and fused to one score, and paths below a share of the scores' deviation are
-no content. As a path's blocks stand or fall together, a one-word paragraph stays with its long siblings. Every
-block of a chosen path stays, wherever it is; so do the other blocks of the articles (else of the deepest element)
-that hold chosen text, lists and tables between chosen blocks, and headings with text that stays below them. Blocks
-that are mostly links, in lists that are so too, count for no path; they stay in articles, beside chosen blocks, and
-where a page has nothing else. Elements that say they are something else (nav, header, footer, aside, form,
+smoothed over neighbouring blocks and fused to one score, and paths below a share of the scores' deviation, or of the
+score of the path with most text, are no content. As a path's blocks stand or fall together, a one-word paragraph
+stays with its long siblings. Every block of a chosen path stays in the content's element,
+and outside it if the path holds a share of the text. So do paragraphs, lists, tables,
+quotes and the like of other paths in the articles (else in the deepest element) that hold the chosen text, lists and
+tables between chosen blocks, and headings with text that stays below them; a bare div whose path isn't chosen, or is so
+by its neighbours only, stays there only where it leads a chosen block like a title. Blocks that are mostly links, in lists that are so too, count for no
+path; they stay in articles, beside chosen blocks, and where a page has nothing else. Elements that say they are something else (nav, header, footer, aside, form,
 scripts, notices, adverts, comments, hidden parts) never count.
 """
 
@@ -25,6 +27,9 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 DEVIATIONS = 0.5
+#: Part of the score of the path with most text that a path must reach, besides the deviations; and part of that path's
+#: text that a path must have to count outside the content's element.
+SHARE = 0.1
 HOLDS = 0.8
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|noembed|noframes)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -62,16 +67,30 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _ENDS_P = _BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
-_PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
+_P, _A, _ARTICLES = frozenset("p"), frozenset("a"), frozenset(("article", "main"))
+_CELLS, _DOCUMENT = frozenset("td th table body".split()), frozenset("body html".split())
+_STOPS_P, _STOPS_A = frozenset("td th table button object".split()), frozenset("td th table".split())
+#: Blocks of any meaning: their tag paths have to be chosen, even in an article.
+_GENERIC = frozenset("div center section aside body".split())
+#: Signs that close a sentence or a part of one; full stops inside names and numbers don't count.
+_PUNCTUATION = re.compile(r"[.,;:!?…](?![^\s\"'”’»)\]])|[。，、！？；：]")
+#: A copyright line.
+_NOTICE = re.compile(r"(?:copyright\s+)?(?:©|\(c\)\s*\d{4})|copyright\s+\d{4}", re.I)
+_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 
 class Element:
-    __slots__ = ("name", "off", "parent", "path")
+    """An open or closed element; what depends on its ancestors is worked out once, when it opens."""
 
-    def __init__(self, name: str, parent: Element | None, mark: str, off: bool):
-        self.name, self.parent, self.off = name, parent, off
-        step = f"{name}.{mark}" if mark else name
-        self.path = f"{parent.path}/{step}" if parent else step
+    __slots__ = ("block", "header", "list", "name", "off", "order", "parent", "path")
+
+    def __init__(self, name: str, parent: Element | None, path: int, off: bool, order: int):
+        self.name, self.parent, self.path, self.off, self.order = name, parent, path, off, order
+        self.block = self if name in _BLOCK or parent is None else parent.block  # the nearest block
+        self.header = name == "header" or parent is not None and parent.header
+        outer = parent.list if parent is not None else None
+        # the outermost list around it, short of an article
+        self.list = None if name in _ARTICLES else outer or (self if name in ("ul", "ol", "dl") else None)
 
 
 class Block:
@@ -81,6 +100,44 @@ class Block:
         self.element, self.text, self.links = element, text, links
 
 
+class Tree:
+    """The open elements of a page. Every step costs the names it asks for, however deep the markup is."""
+
+    def __init__(self) -> None:
+        self.paths: dict[tuple[int, str], int] = {}  # (path of the parent, step) -> path: a number stands for a tag path
+        self.elements: list[Element] = []
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # where elements of a name are open
+        self.blocks_open: list[int] = []
+        self.push("#", "", False)
+
+    def push(self, name: str, mark: str, off: bool) -> None:
+        parent = self.open[-1] if self.open else None
+        step = (parent.path if parent else -1, f"{name}.{mark}" if mark else name)
+        path = self.paths.setdefault(step, len(self.paths))
+        element = Element(name, parent, path, off or (parent is not None and parent.off), len(self.elements))
+        self.elements.append(element)
+        self.places[name].append(len(self.open))
+        if name in _BLOCK:
+            self.blocks_open.append(len(self.open))
+        self.open.append(element)
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        """Where the innermost open element of these names is; -1 if none is."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+    def cut(self, k: int) -> int:
+        """Close all from place k on; how many of them were links."""
+        anchors = 0
+        while len(self.open) > k:
+            name = self.open.pop().name
+            self.places[name].pop()
+            anchors += name == "a"
+            if name in _BLOCK:
+                self.blocks_open.pop()
+        return anchors
+
+
 @lru_cache(1 << 14)
 def name_off(name: str, words: frozenset[str]) -> bool:
     """Whether a whole class or id says by these telling words that its element is no content."""
@@ -99,10 +156,9 @@ def says_off(name: str, classes: list[str], own_id: str, in_text: bool) -> bool:
     return name_off(own_id, _TELLING) or own_id.lower() in _WHOLE or own_id.lower() == "header" and not in_text
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of a page in order; markup that is not closed or not nested is mended as browsers do."""
-    root = Element("#", None, "", False)
-    stack, out = [root], []
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of a page in order, and all its elements; markup that is not closed or not nested is mended as browsers do."""
+    tree, out = Tree(), []
     held: list[str] = []
     links = anchors = 0
 
@@ -111,22 +167,19 @@ def blocks_of(page: str) -> list[Block]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                at = next(e for e in reversed(stack) if e.name in _BLOCK or e is root)
-                out.append(Block(at, text, min(links, len(text))))
+                out.append(Block(tree.open[-1].block, text, min(links, len(text))))
             held, links = [], 0
 
-    def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+    def close(names: frozenset[str] | set[str], stop: frozenset[str] | set[str]) -> bool:
         """Close the nearest open element of these names, and all inside it, unless `stop` comes first."""
         nonlocal anchors
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                if any(e.name in _BLOCK for e in stack[k:]):
-                    flush()
-                anchors -= sum(e.name == "a" for e in stack[k:])
-                del stack[k:]
-                return
-            if stack[k].name in stop:
-                return
+        k = tree.last(names)
+        if k <= 0 or k < tree.last(stop):
+            return False
+        if tree.blocks_open and tree.blocks_open[-1] >= k:
+            flush()
+        anchors -= tree.cut(k)
+        return True
 
     at, unclosed = 0, set()
     while at < len(page):
@@ -147,7 +200,7 @@ def blocks_of(page: str) -> list[Block]:
             if name == "br":
                 held.append(" ")
             elif name not in _VOID:
-                close({name}, {"td", "th", "table", "body"} - {name} if name not in _BLOCK else {"body", "html"} - {name})
+                close({name}, _CELLS - {name} if name not in _BLOCK else _DOCUMENT - {name})
             continue
         if name in _SKIPPED:
             if not (name in ("svg", "math") and token.endswith("/>")) and name not in unclosed:
@@ -160,58 +213,37 @@ def blocks_of(page: str) -> list[Block]:
         if name in _BLOCK:
             flush()
             if name in _ENDS_P:
-                close({"p"}, {"td", "th", "table", "button", "object"})
-            if name in _HEADINGS and stack[-1].name in _HEADINGS:
-                stack.pop()
-            while name in _CLOSES and any(e.name in _CLOSES[name] for e in stack):
-                before = len(stack)
-                close(_CLOSES[name], _SCOPE[name])
-                if len(stack) == before:
-                    break
+                close(_P, _STOPS_P)
+            if name in _HEADINGS and tree.open[-1].name in _HEADINGS:
+                tree.cut(len(tree.open) - 1)
+            while name in _CLOSES and close(_CLOSES[name], _SCOPE[name]):
+                pass
         if name == "br":
             held.append(" ")
         if name in _VOID:
             continue
         if name == "a":
-            close({"a"}, {"td", "th", "table"})
+            close(_A, _STOPS_A)
             anchors += 1
         attributes = m.group(4) or m.group(7) or ""
         mark, off = "", name in _OFF
+        in_article = tree.last(_ARTICLES) >= 0
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attributes)}
             mark = " ".join(sorted(found.get("class", "").split()))
             if not off and (name in _CONTAINERS or name == "article") and ("class" in found or "id" in found):
-                in_text = name == "article" or any(e.name in ("article", "main") for e in stack)
-                off = says_off(name, (found.get("class") or "").split(), found.get("id") or "", in_text)
+                off = says_off(name, (found.get("class") or "").split(), found.get("id") or "", name == "article" or in_article)
             off |= found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
             off |= "display:none" in found.get("style", "").replace(" ", "").lower()
-        parent = stack[-1]
         if name == "header":
-            off |= not any(e.name in ("article", "main") for e in stack)
-        stack.append(Element(name, parent, mark if name in _BLOCK else "", off or parent.off))
+            off |= not in_article
+        tree.push(name, mark if name in _BLOCK else "", off)
     flush()
-    return out
+    return out, tree.elements
 
 
-def in_article_header(element: Element) -> bool:
-    """Bylines and the like: inside an article's header, but no heading."""
-    if element.name in _HEADINGS:
-        return False
-    while element:
-        if element.name == "header":
-            return True
-        element = element.parent
-    return False
-
-
-def main_text(page: str | None) -> str:
-    """The article's blocks joined by newlines; empty if there are none."""
-    live = [b for b in blocks_of(page or "") if not b.element.off and not in_article_header(b.element)]
-    if not live:
-        return ""
-    dense = mostly_links(live)
-    if len(dense) == len(live):
-        dense = set()
+def scores_of(live: list[Block], dense: set[Block]) -> tuple[dict[int, float], dict[int, float]]:
+    """Fused text length and punctuation per block of each tag path: smoothed over the page, and as they are."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in live:
         if b not in dense:
@@ -219,7 +251,6 @@ def main_text(page: str | None) -> str:
             length[path] += len(b.text) - (b.links if b.element.name not in _HEADINGS else 0)
             marks[path] += len(_PUNCTUATION.findall(b.text))
             count[path] += 1
-    # ratios per path, smoothed over the sequence of blocks, then averaged per path again and fused
     own = [(0.0, 0.0) if b in dense else (length[p] / count[p], marks[p] / count[p]) for b, p in ((b, b.element.path) for b in live)]
     smooth = defaultdict(lambda: [0.0, 0.0])
     for k, b in enumerate(live):
@@ -227,25 +258,47 @@ def main_text(page: str | None) -> str:
             near = [own[max(0, k - 1)], own[k], own[k], own[min(len(own) - 1, k + 1)]]
             for i in (0, 1):
                 smooth[b.element.path][i] += sum(x[i] for x in near) / 4 / count[b.element.path]
-    score = {p: t * (1 + m) for p, (t, m) in smooth.items()}
+    return {p: t * (1 + m) for p, (t, m) in smooth.items()}, {p: length[p] / count[p] * (1 + marks[p] / count[p]) for p in smooth}
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks joined by newlines; empty if there are none."""
+    found, elements = blocks_of(page or "")
+    # bylines and the like, in an article's header, are none of its text; headings there are
+    live = [b for b in found if not b.element.off and (b.element.name in _HEADINGS or not b.element.header and not _NOTICE.match(b.text))]
+    if not live:
+        return ""
+    dense = mostly_links(live)
+    if len(dense) == len(live):
+        dense = set()
+    score, plain = scores_of(live, dense)
     values = [0.0 if b in dense else score[b.element.path] for b in live]
     mean = sum(values) / len(values)
-    least = DEVIATIONS * (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
-    best = max((b.element.path for b in live if b not in dense), key=lambda p: length[p])
+    spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+    held: dict[int, int] = defaultdict(int)
+    for b in live:
+        if b not in dense:
+            held[b.element.path] += len(b.text)
+    best = max(held, key=lambda p: held[p])
+    least = max(DEVIATIONS * spread, SHARE * score[best])
     chosen = {p for p in score if score[p] >= least or p == best}
+    weak = {p for p in score if plain[p] < SHARE * plain[best] and p != best}  # between long blocks they look longer
     at = [k for k, b in enumerate(live) if b.element.path in chosen and b not in dense]
-    roots = content_elements([live[k] for k in at])
-    articles = {e for e in roots if e.name in ("article", "main")}
+    frame, roots = content_elements([live[k] for k in at], elements)
+    articles = {e for e in roots if e.name in _ARTICLES}
+    inside, in_article, in_frame = within(elements, roots), within(elements, articles), within(elements, {frame})
     beside = {live[k].element.parent for k in at if live[k].element.name not in _ITEMS}
-    frame = common_element([live[k].element for k in at])
     stays = []
     for k, b in enumerate(live):
+        e = b.element
         if b in dense:
-            top = list_of(b.element) or b.element
-            stays.append(within(b.element, articles) or top.parent in beside and top.parent.name not in _PAGE)
+            top = e.list or e
+            stays.append(in_article[e.order] or top.parent in beside and top.parent.name not in _PAGE)
         else:
-            between = at[0] < k < at[-1] and b.element.name in _ITEMS and within(b.element, {frame})
-            stays.append(b.element.path in chosen or between or within(b.element, roots))
+            between = at[0] < k < at[-1] and e.name in _ITEMS and in_frame[e.order]
+            much = inside[e.order] or not roots or held[e.path] >= SHARE * held[best]
+            picked = e.path in chosen and much and not (e.name in _GENERIC and e.path in weak)
+            stays.append(picked or between or inside[e.order] and (e.name not in _GENERIC or e in roots or leads(live, k, chosen)))
     below: set[int] = set()  # ranks of headings that would have text that stays
     for k in range(len(live) - 1, -1, -1):
         name = live[k].element.name
@@ -260,76 +313,68 @@ def main_text(page: str | None) -> str:
     return "\n".join(b.text for b, s in zip(live, stays) if s)
 
 
-def list_of(element: Element) -> Element | None:
-    """The outermost list around an element, short of an article."""
-    found = None
-    while element is not None and element.name not in ("article", "main"):
-        if element.name in ("ul", "ol", "dl"):
-            found = element
-        element = element.parent
-    return found
+def leads(live: list[Block], k: int, chosen: set[int]) -> bool:
+    """Whether a block of a path that isn't chosen is a title in all but its tag: no sentence, with chosen text next to it below."""
+    if _SENTENCE_END.search(live[k].text) or k + 1 == len(live):
+        return False
+    return live[k + 1].element.path in chosen and live[k + 1].element.parent is live[k].element.parent
 
 
 def mostly_links(live: list[Block]) -> set[Block]:
     """Blocks with more link text than other text in lists that have so too, or in no list; headings never."""
     surplus: dict[Element, int] = defaultdict(int)
-    own = [list_of(b.element) or b.element for b in live]
+    own = [b.element.list or b.element for b in live]
     for b, e in zip(live, own):
         surplus[e] += 2 * b.links - len(b.text)
     return {b for b, e in zip(live, own) if 2 * b.links > len(b.text) and surplus[e] > 0 and b.element.name not in _HEADINGS}
 
 
-def within(element: Element | None, roots: set[Element]) -> bool:
-    while element is not None:
-        if element in roots:
-            return True
-        element = element.parent
-    return False
-
-
-def chain(element: Element | None) -> list[Element]:
-    """The elements from the root to this one."""
-    found = []
-    while element is not None:
-        found.append(element)
-        element = element.parent
-    return found[::-1]
-
+def within(elements: list[Element], roots: set[Element]) -> list[bool]:
+    """For each element of a page (parents come first): whether it is one of the roots or in one."""
+    found: list[bool] = []
+    for e in elements:
+        found.append(e in roots or e.parent is not None and found[e.parent.order])
+    return found
 
-def common_element(elements: list[Element]) -> Element:
-    """The smallest element that holds all of these."""
-    shared = chain(elements[0])
-    for e in dict.fromkeys(elements):
-        own = set(chain(e))
-        while shared[-1] not in own:
-            shared.pop()
-    return shared[-1]
 
+def content_elements(chosen: list[Block], elements: list[Element]) -> tuple[Element, set[Element]]:
+    """The smallest element that holds all chosen blocks, and the elements that are content.
 
-def content_elements(chosen: list[Block]) -> set[Element]:
-    """The articles that have chosen text, else the main elements, else the deepest element with HOLDS of it; none if that is the page."""
-    held: dict[Element, int] = defaultdict(int)
-    depth: dict[Element, int] = {}
+    These are the articles that have chosen text, else the main elements, else the deepest element with HOLDS of it;
+    none if that is the page.
+    """
+    text, count = [0] * len(elements), [0] * len(elements)
+    depth = [0] * len(elements)
     for b in chosen:
-        for d, e in enumerate(chain(b.element)):
-            held[e] += len(b.text)
-            depth[e] = d
+        text[b.element.order] += len(b.text)
+        count[b.element.order] += 1
+    for e in reversed(elements):
+        if e.parent is not None:
+            text[e.parent.order] += text[e.order]
+            count[e.parent.order] += count[e.order]
+    for e in elements:
+        if e.parent is not None:
+            depth[e.order] = depth[e.parent.order] + 1
+    having = [e for e in elements if count[e.order]]
+    frame = max((e for e in having if count[e.order] == len(chosen)), key=lambda e: depth[e.order])
     for name in ("article", "main"):
-        marked = {e for e in held if e.name == name}
+        marked = {e for e in having if e.name == name}
         if marked:
-            return marked
-    total = sum(len(b.text) for b in chosen)
-    deepest = max((e for e in held if held[e] >= HOLDS * total and e.name != "p"), key=lambda e: (depth[e], held[e]))
+            return frame, marked
+    total = text[0]
+    deepest = max((e for e in having if text[e.order] >= HOLDS * total and e.name != "p"), key=lambda e: (depth[e.order], text[e.order]))
     wide = deepest
     while wide.name in _PARTS:
         wide = wide.parent
     best = deepest if wide.name in _PAGE else wide
-    return set() if best.name in _PAGE else {best}
+    return frame, set() if best.name in _PAGE else {best}
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page (html null: empty).
 
+    Time and memory are linear in the page, however deep its markup is.
+
     Edge cases: a page without content has an empty text and n_chars 0; broken markup is mended; a text without
     any markup is its own content; repeated rows are extracted each; an empty table gives no rows; other columns
     are ignored.
