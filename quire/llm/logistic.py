@@ -44,24 +44,25 @@ class Sparse:
         return np.bincount(self.at, self.values * r[self.row], minlength=self.n)
 
 
-def fit_sparse(x: Sparse, y: np.ndarray, pairs: Sparse, lasso: float, ridge: float, pair_weight: float, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_sparse(x: Sparse, y: np.ndarray, pairs: Sparse, lasso: float, ridge: float, pair_weight: float, steps: int = 300, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Elastic-net logistic regression by accelerated proximal steps, with a penalty on paired score changes.
 
     Minimises the mean log loss + lasso * |w| + ridge / 2 * w^2 + pair_weight / 2 * mean over pairs of (d . w)^2,
-    where each row d of `pairs` is the difference of two rows that must score alike.
+    where each row d of `pairs` is the difference of two rows that must score alike; it counts `times` (1 if not given).
     """
-    n, m = max(1, len(y)), max(1, len(pairs.sizes))
+    times = np.ones(len(pairs.sizes)) if times is None else times
+    n, share = max(1, len(y)), times / max(1.0, float(times.sum()))
     w, b = np.zeros(x.n), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if len(y) else 0.0
     probe = np.random.default_rng(0).normal(size=x.n)
     for _ in range(12):  # largest curvature by power iteration
-        probe = x.t_dot(x.dot(probe)) / (4 * n) + pair_weight * pairs.t_dot(pairs.dot(probe)) / m
+        probe = x.t_dot(x.dot(probe)) / (4 * n) + pair_weight * pairs.t_dot(share * pairs.dot(probe))
         top = float(np.linalg.norm(probe))
         probe /= max(top, 1e-12)
     rate = 1 / (1.1 * top + ridge + 0.25 + 1e-9)
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
         r = (sigmoid(x.dot(v) + c) - y) / n
-        slope = x.t_dot(r) + ridge * v + pair_weight * pairs.t_dot(pairs.dot(v)) / m
+        slope = x.t_dot(r) + ridge * v + pair_weight * pairs.t_dot(share * pairs.dot(v))
         new = v - rate * slope
         new = np.sign(new) * np.maximum(np.abs(new) - rate * lasso, 0)
         new_b = c - rate * r.sum()
@@ -72,3 +73,12 @@ def fit_sparse(x: Sparse, y: np.ndarray, pairs: Sparse, lasso: float, ridge: flo
         if done:
             break
     return w, b
+
+
+def take(x: Sparse, rows: np.ndarray) -> Sparse:
+    """Some rows of a Sparse (a mask)."""
+    out = Sparse([], x.n)
+    keep = rows[x.row]
+    out.sizes, out.at, out.values = x.sizes[rows], x.at[keep], x.values[keep]
+    out.row = (np.cumsum(rows) - 1)[x.row[keep]]
+    return out
