@@ -13,7 +13,7 @@ see the same windows in the same order whatever is recomputed.
 
 Documents of one word sequence are copies: one of them stands for all in passes 1 and 2 (their every window
 repeats), so a large group of copies costs one document. Two different windows are taken for equal only if both
-of their 64-bit polynomial hashes agree.
+of their 64-bit polynomial hashes agree, which rest on different hashes of the words.
 """
 
 from __future__ import annotations
@@ -57,14 +57,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def window_hashes(words: np.ndarray, offsets: np.ndarray, window: int) -> list[np.ndarray]:
-    """Two hashes of every window of `window` words inside each document, in order."""
-    n = len(words)
+def window_hashes(words: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, window: int) -> list[np.ndarray]:
+    """Two hashes of every window of `window` words inside each document, in order, from two independent hashes of each word."""
+    n = len(words[0])
     starts = ranges(offsets[:-1], np.maximum(np.diff(offsets) - window + 1, 0))
     out = []
-    for k, base in enumerate(BASES):
+    for h, base in zip(words, BASES):
         power, inverse = powers(base, n + 1)
-        h = words if k == 0 else mixed(words)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(h * power[:n], out=sums[1:])
         out.append(mixed((sums[starts + window] - sums[starts]) * inverse[starts]))
@@ -84,7 +83,8 @@ def part_windows(uri: str, skip: set[int], window: int) -> tuple[np.ndarray, np.
                 row += part.num_rows
                 flat, offsets = split_words(part.column("text").filter(pa.array(keep)))
                 codes, hashes = ids(flat)
-                found.append(window_hashes(np.array(hashes, np.uint64)[codes] if len(flat) else np.zeros(0, np.uint64), offsets, window))
+                both = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+                found.append(window_hashes((both[codes, 0], both[codes, 1]), offsets, window))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])

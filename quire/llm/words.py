@@ -42,8 +42,9 @@ class WordIds:
         return np.asarray(coded.indices), [known[w] for w in words]
 
 
-def hash_words(words: list[str]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+def hash_words(words: list[str]) -> list[bytes]:
+    """128 bits for each word, as 16 bytes."""
+    return [xxhash.xxh3_128_digest(w.encode()) for w in words]
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
