@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -368,8 +370,8 @@ def test_embedding_near_duplicates(spark, vectors, monkeypatch):
 
 
 def test_embedding_near_duplicates_where_ids_repeat_or_are_null(spark):
-    e = [[1.0, 0, 0], [0.99, 0.05, 0], [0, 1.0, 0], [0, 0.99, 0.05], [0, 0, 1.0], [0, 0.02, 0.99]]
-    rows = [(7, e[0]), (3, e[1]), (7, e[2]), (None, e[3]), (None, e[4]), (None, e[5]), (None, None), (9, e[2]), (7, [0.0, 0, 0])]
+    e = [[1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.05], [0.0, 0.0, 1.0], [0.0, 0.02, 0.99]]
+    rows = [(7, e[0]), (3, e[1]), (7, e[2]), (None, e[3]), (None, e[4]), (None, e[5]), (None, None), (9, e[2]), (7, [0.0, 0.0, 0.0])]
     got = embed_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     want = [(7, 1, 3, False), (3, 1, 3, True), (7, 2, 7, True), (None, 2, 7, False), (None, 1, None, False), (None, 1, None, False), (None, 0, None, False), (9, 2, 7, False), (7, 0, 7, True)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
@@ -442,6 +444,31 @@ def test_html_unclosed_and_self_closed_tags_swallow_nothing():
     assert html_text.main_text(f"{rest}<script>no") == LONG.strip()
 
 
+def test_html_depth_costs_no_more_than_length():
+    import time
+    import tracemalloc
+
+    for page, text in (("<div>" * 100_000 + "Deep text." + "</div>" * 100_000, "Deep text."), ("<ul><li>x" * 30_000, "x"), ("<p><table>" + "<div>y" * 20_000, "y"), ("<b>" * 20_000 + "z" + "</i>" * 20_000, "z")):
+        tracemalloc.start()
+        began = time.perf_counter()
+        assert html_text.main_text(page).startswith(text)
+        took, (_, most) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert took < 20 and most < 200e6  # tracing makes it several times slower
+
+
+def test_html_paths_decide_where_no_element_says_what_it_is():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    same = extra = missing = 0
+    for page in pages:
+        bare = re.sub(r"<(/?)(nav|footer|header|aside|main|section|article)\b[^>]*>", r"<\1div>", page).replace('<div class="ad">', "<div>")
+        want, got = (collections.Counter(html_text.main_text(x).split("\n")) for x in (page, bare))
+        same, extra, missing = same + sum((want & got).values()), extra + sum((got - want).values()), missing + sum((want - got).values())
+    assert 2 * same / (2 * same + extra + missing) >= 0.99
+    inside = html_text.main_text(f"<article><h1>T</h1><p>{LONG * 3}</p><div>Buy one of these now.</div><p>Short.</p><p>{LONG * 3}</p><div class=x>Read on.</div></article>")
+    assert inside.split("\n") == ["T", (LONG * 3).strip(), "Short.", (LONG * 3).strip()]
+
+
 def labelled(n=400):
     rng = random.Random(9)
     rows, labels = [], []
@@ -479,13 +506,64 @@ def test_toxicity_and_quality_held_out(spark):
 
 
 def test_counterfactual_penalty_evens_identity_terms():
-    swaps = list(toxicity.swaps("Some muslims came. Nothing here."))
+    swaps = list(toxicity.swaps("Some muslims came. Nothing here.", toxicity.listed_kinds()))
     assert swaps and all("=muslims" in lost and "=muslims" not in won for lost, won in swaps)
     # feature 0 marks toxic rows; features 1 and 2 are two groups, and group 1 is mentioned in toxic rows more often
     x = [[0, 1]] * 30 + [[1]] * 10 + [[2]] * 40 + [[0, 2]] * 5
     y = np.array([1.0] * 30 + [0] * 10 + [0] * 40 + [1] * 5)
     free, _ = fit_sparse(Sparse(x, 3), y, Sparse([], 3), 1e-3, 1e-3, 10.0)
     even, _ = fit_sparse(Sparse(x, 3), y, Sparse([[1, 2]], 3, [[-1.0, 1.0]]), 1e-3, 1e-3, 10.0)
-    assert abs(even[1] - even[2]) < 0.2 * abs(free[1] - free[2]) and even[0] > 1
-
-
+    twice, _ = fit_sparse(Sparse(x, 3), y, Sparse([[1, 2], [0]], 3, [[-1.0, 1.0], [0.0]]), 1e-3, 1e-3, 10.0, times=np.array([7.0, 0.0]))
+    assert abs(even[1] - even[2]) < 0.2 * abs(free[1] - free[2]) and even[0] > 1 and np.allclose(even, twice, atol=1e-3)
+
+
+def test_neutral_mentions_are_no_longer_flagged(spark):
+    rng, rows, labels = random.Random(12), [], []
+    for i in range(1200):
+        group = rng.choice(["muslims", "christians", "hindus", "buddhists"])
+        bad = rng.random() < (0.75 if group == "muslims" else 0.08)
+        w = words(rng, 25, 500).split()
+        w[rng.randrange(5, 12)] = group
+        if bad and rng.random() < 0.8:
+            w[rng.randrange(13, 25)] = rng.choice(["idiot", "scum", "moron", "trash"])
+        rows.append((i, " ".join(w).replace(".", ""), "en", "s", 0, 1, ""))
+        labels.append((i, 1, int(bad)))
+    neutral = [(i, words(rng, 25, 500).replace(".", "") + " muslims met", "en", "s", 0, 1, "") for i in range(5000, 5100)]
+    docs, marks = spark.createDataFrame(rows + neutral, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    flagged, caught = {}, {}
+    for weight in (0.0, 10.0):
+        got = {r.doc_id: r for r in toxicity.score_toxicity(docs, marks, pair_weight=weight).collect()}
+        flagged[weight] = sum(got[i].predicted for i in range(5000, 5100))
+        said = [got[i] for i in range(1200) if got[i].held_out and {"idiot", "scum", "moron", "trash"} & set(rows[i][1].split())]
+        caught[weight] = np.mean([r.predicted for r in said])
+    assert flagged[0.0] > 50 and flagged[10.0] < 0.3 * flagged[0.0] and caught[10.0] > 0.9
+
+
+def test_mentions_are_found_in_the_texts(spark):
+    rng = random.Random(2)
+    rows = [(i, f"then {rng.choice(('aaa', 'bbb', 'ccc'))} said yes {'awful' if i % 4 == 0 else 'fine'} w{i % 50} and {rng.choice(('x1', 'x2'))} left") for i in range(300)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = toxicity.found_kinds(train, {"aaa": 0.1, "bbb": 0.2, "ccc": 0.3, "x1": 0.0, "x2": 0.0}, ["then", "said", "yes", "and", "left"])
+    assert set(kinds["aaa"]) == {"bbb", "ccc"} and kinds["x1"] == ["x2"]
+
+
+def test_null_ids_have_rows_of_their_own(spark):
+    rng = random.Random(4)
+    shared, long = words(rng, 60), words(rng, 120, 5000)
+    rows = [(None, long, "en", None, 0, 1, ""), (None, shared + " x", "en", "a", 0, 1, ""), (1, shared + " y", "en", "a", 0, 1, ""), (None, None, None, None, None, None, None), (2, "", "en", "b", 0, 1, ""), (2, "", "en", "b", 0, 1, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, 0, 1)], "doc_id long, quality int, toxic int")
+
+    def ids(df):
+        return sorted((r.doc_id for r in df.collect()), key=str)
+
+    every = [1, 2, 2, None, None, None]
+    for made in (mixing.mix(docs), toxicity.score_toxicity(docs, labels), quality.score_quality(docs, labels), substring.remove_repeats(docs), simhash.near_duplicates(docs), rans.round_trip(docs)):
+        assert ids(made) == every
+    assert ids(packing.pack(docs).where("piece = 0")) == every
+    assert ids(toxicity.without_toxic(docs, labels)) == ids(toxicity.score_toxicity(docs, labels).where("predicted = 0"))
+    assert ids(simhash.one_of_each(docs))[-3:] == [None] * 3
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.where("doc_id is null").count() == mixing.mix(docs).where("doc_id is null").selectExpr("sum(copies)").first()[0]
+    flags = {(r.doc_id, r.n_words): r.n_removed for r in substring.remove_repeats(docs).collect()}
+    assert flags[(None, 61)] == 60 and flags[(1, 61)] == 60 and flags[(None, 120)] == 0
