@@ -124,7 +124,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
     """The documents of the mix: each as often as it has copies, with its own columns.
 
-    Rows that repeat a doc_id share the copies of that id among them, the earlier texts first.
+    Rows that repeat a doc_id share the copies of that id among them, the earlier texts first; so do rows with a null
+    doc_id. Documents without words come once; an empty table gives no rows; columns of any other names are kept.
     """
     ws = Workspace(docs.sparkSession, "mixed")
     plan = ws.save(mix(docs, weights, share).select("doc_id", "copies"), "plan")

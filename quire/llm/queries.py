@@ -20,42 +20,52 @@ from .toxicity import score_toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each with the words the mix of sources takes of it."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every 20th row of embeddings."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts and the digest of what is left of every document without repeated 35-word windows."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all pieces of documents in sequences of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written token files hold of every document."""
     return round_trip(table(spark, sf_dir, "documents"))
 
 

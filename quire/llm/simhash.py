@@ -169,15 +169,15 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
 
 
 def with_fingerprint(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """All columns of the documents, and fp."""
+    """All columns of the documents, and __fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fps = np.fromiter((fingerprint(t, shingle, seed) for t in texts(part.column("text"))), np.uint64, part.num_rows)
-                yield part.append_column("fp", pa.array(fps.view(np.int64)))
+                yield part.append_column("__fp", pa.array(fps.view(np.int64)))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
 
 
 def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -199,9 +199,9 @@ def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if repeated:
         # (doc_id, fp) names a row's component; equal ids in one component are told apart by their texts
-        lows = found.where("doc_id = component_id").select("doc_id", "fp", "component").join(many, "doc_id", "left_semi").distinct()
+        lows = found.where("doc_id = component_id").select("doc_id", F.col("fp").alias("__fp"), F.col("component").alias("__component")).join(many, "doc_id", "left_semi").distinct()
         rows = with_fingerprint(docs.join(many.hint("merge"), "doc_id", "left_semi").select(*docs.columns), shingle, seed)
         row = F.struct(F.sha2("text", 256).alias("text_hash"), *[F.col(c) for c in docs.columns])
-        first = rows.join(lows, ["doc_id", "fp"]).groupBy("component").agg(F.min(row).alias("row"))
+        first = rows.join(lows, ["doc_id", "__fp"]).groupBy("__component").agg(F.min(row).alias("row"))
         kept = kept.unionByName(first.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
     return kept

@@ -36,6 +36,7 @@ from .words import WordIds, hash_words, ranges, split_words
 
 PART_BYTES = 12 << 20
 RANGE_BITS = 24
+ADDED = ("n_words", "n_removed", "kept_sha256")
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -166,8 +167,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, depth: int = 2, counters:
     rows and equal texts are copies of each other, so their windows repeat; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    added = ("n_words", "n_removed", "kept_sha256")
-    docs = docs.drop(*added).withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop(*ADDED).withColumn("text", F.col("text").cast("string"))
     ws = Workspace(spark, "substring")
     index = ws.save(write_parts(docs, ws.folder("parts"), window), "index")
     counts = index.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("part", "row")).alias("first")).where("n > 1")
