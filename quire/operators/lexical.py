@@ -7,38 +7,57 @@ from pyspark.sql import functions as F
 
 from quire import constants as C
 from quire.functions import text as T
+from quire.operators.ordering import each_of
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """source_id, chunk_id, tok, tf, dl. No idf: statistics belong to the scope that is searched."""
     t = chunks.select("source_id", "chunk_id", T.tokens(F.col("text")).alias("toks"))
-    each = t.select("source_id", "chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
+    each = each_of(t, ["source_id", "chunk_id", F.size("toks").alias("dl")], F.col("toks"), ("tok",))
     return each.groupBy("source_id", "chunk_id", "tok").agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
     """tok, df: distinct tokens are exploded once a chunk, so the count combines before its shuffle."""
-    each = chunks.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("tok"))
+    each = each_of(chunks, [], F.array_distinct(T.tokens(F.col("text"))), ("tok",))
     return each.groupBy("tok").agg(F.count("*").alias("df"))
 
 
+#: Query tokens up to which they are broadcast (rows of some 60 bytes); more meet the chunks in a salted join.
+BROADCAST_ROWS = 500_000
+SALTS = 32
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B, epsilon: float = C.BM25_EPSILON) -> DataFrame:
     """query_id, source_id, chunk_id, score for the chunks that share a token with a query.
 
     Okapi weights; a negative idf becomes `epsilon` times the mean idf of the vocabulary. Query tokens count as
-    often as they occur. Only the query's tokens leave the scan: chunks are matched where they are read.
+    often as they occur.
+
+    Chunks are tokenised once and partitioned by chunk; this one exchange serves the statistics, the document
+    frequencies, the term counts and, as query weights come to it, the sums too. A token that is everywhere is spread
+    over all chunks' partitions.
     """
-    size = T.tokens(F.col("text"))
-    stats = chunks.agg(F.count("*").alias("N"), F.avg(F.size(size)).alias("avgdl"))
-    df = document_frequency(chunks)
+    toks = chunks.select("source_id", "chunk_id", T.tokens(F.col("text")).alias("toks")).repartition("source_id", "chunk_id")
+    stats = toks.agg(F.count("*").alias("N"), F.avg(F.size("toks")).alias("avgdl"))
+    df = each_of(toks, [], F.array_distinct("toks"), ("tok",)).groupBy("tok").agg(F.count("*").alias("df"))
     raw = F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = df.join(F.broadcast(stats), F.lit(True)).select("tok", raw.alias("raw"), "avgdl")
+    weights = df.join(F.broadcast(stats), F.lit(True)).select("tok", raw.alias("raw"), "avgdl")  # one row of statistics
     mean = weights.agg(F.avg("raw").alias("mean"))  # one row
     asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
-    known = weights.join(asked, "tok").join(F.broadcast(mean), F.lit(True))
-    known = known.select("query_id", "tok", "qtf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = asked.select("tok").distinct()
-    toks = chunks.select("source_id", "chunk_id", size.alias("toks")).select("source_id", "chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
-    tf = toks.join(wanted, "tok").groupBy("source_id", "chunk_id", "dl", "tok").agg(F.count("*").alias("tf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(known, "tok").groupBy("query_id", "source_id", "chunk_id").agg(F.sum(F.col("qtf") * part).alias("score"))
+    known = weights.join(F.broadcast(wanted) if few else wanted, "tok").join(F.broadcast(mean), F.lit(True))
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
+    known = known.select("tok", idf.alias("idf"), "avgdl").join(asked, "tok").select("tok", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
+    each = each_of(toks, ["source_id", "chunk_id", F.size("toks").alias("dl")], F.col("toks"), ("tok",))
+    each = each.join(F.broadcast(wanted), "tok", "left_semi") if few else each
+    tf = each.groupBy("source_id", "chunk_id", "dl", "tok").agg(F.count("*").alias("tf"))
+    if few:
+        met = tf.join(F.broadcast(known), "tok")
+    else:
+        salt = F.pmod(F.xxhash64("source_id", "chunk_id"), F.lit(SALTS)).cast("int")
+        spread = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = tf.withColumn("__salt", salt).join(spread, ["tok", "__salt"])
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return met.groupBy("source_id", "chunk_id", "query_id").agg(F.sum(part).alias("score")).select("query_id", "source_id", "chunk_id", "score")

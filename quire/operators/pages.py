@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import constants as C
 from quire.functions import text as T
+from quire.operators.ordering import BUCKET, each_of
 
 
 def running_heads(pages: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def running_heads(pages: DataFrame) -> DataFrame:
     edges = F.when(n > 0, F.filter(edges, lambda x: ~T.is_digits(x))).otherwise(F.array().cast("array<string>"))
     marked = cut.select("source_id", F.array_distinct("ls").alias("ls"), F.array_distinct(edges).alias("edges"))
     # one row for each distinct line of a page; the aggregation combines before its shuffle
-    each = marked.select("source_id", F.explode("ls").alias("line"), "edges").select("source_id", "line", F.array_contains("edges", F.col("line")).cast("int").alias("edge"))
+    each = each_of(marked, ["source_id", "edges"], F.col("ls"), ("line",)).select("source_id", "line", F.array_contains("edges", F.col("line")).cast("int").alias("edge"))
     seen = each.groupBy("source_id", "line").agg(F.count("*").alias("n"), F.sum("edge").alias("at_edge"))
     size = pages.groupBy("source_id").agg(F.count("*").alias("pages")).where(F.col("pages") >= C.MIN_HEAD_PAGES)
     heads = seen.join(size, "source_id")
@@ -43,17 +44,23 @@ def clean_pages(pages: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     return pages.join(by_source, "source_id", "left").withColumn("text", T.squeeze(F.array_join(kept, " "))).drop("__heads")
 
 
-def carry_forward(pages: DataFrame, starts: DataFrame) -> DataFrame:
+def carry_forward(pages: DataFrame, starts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Set `chapter` to the last chapter that started on or before each page; null before the first.
 
-    An as-of join: starts (source_id, page_no, title) become half-open page ranges, which pages join per source.
+    An as-of join without pairs: page numbers and starts (source_id, page_no, title) are cut in ranges of pages, each
+    range carries its own starts, and the last title of earlier ranges fills what comes before its first.
     """
-    order = Window.partitionBy("source_id").orderBy("page_no")
-    spans = starts.select("source_id", "page_no", "title", F.lead("page_no").over(order).alias("__until"))
-    spans = spans.select("source_id", F.col("page_no").alias("__from"), "__until", F.col("title").alias("__title"))
-    s, p = spans.alias("s"), pages.drop("chapter").alias("p")
-    within = (F.col("p.source_id") == F.col("s.source_id")) & (F.col("pdf_page") >= F.col("__from")) & (F.col("__until").isNull() | (F.col("pdf_page") < F.col("__until")))
-    return p.join(s, within, "left").select("p.*", F.col("__title").alias("chapter"))
+    at = lambda p: F.floor(F.col(p) / bucket).alias("__range")
+    marks = pages.select("source_id", at("pdf_page"), F.col("pdf_page").alias("__page"), F.lit(1).alias("__kind"), F.lit(None).cast("string").alias("__title"))
+    marks = marks.unionByName(starts.select("source_id", at("page_no"), F.col("page_no").alias("__page"), F.lit(0).alias("__kind"), F.col("title").alias("__title")))
+    marks = marks.repartition("source_id", "__range")  # one exchange for both uses
+    last = marks.groupBy("source_id", "__range").agg(F.max_by("__title", F.when(F.col("__title").isNotNull(), F.col("__page"))).alias("__last"))
+    earlier = Window.partitionBy("source_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("source_id", "__range", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    inside = Window.partitionBy("source_id", "__range").orderBy("__page", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = marks.withColumn("__own", F.last("__title", ignorenulls=True).over(inside)).where("__kind = 1")
+    found = own.join(carried, ["source_id", "__range"]).select("source_id", F.col("__page").alias("pdf_page"), F.coalesce("__own", "__carried").alias("chapter"))
+    return pages.drop("chapter").join(found, ["source_id", "pdf_page"], "left").select(*[c for c in pages.columns if c != "chapter"], "chapter")
 
 
 def scan_report(pages: DataFrame) -> DataFrame:

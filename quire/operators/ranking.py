@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from quire import constants as C
 from quire.functions.vector import dot
+from quire.operators.ordering import each_of
 
 
 BLOCK = 256
+#: Bytes of query vectors up to which all blocks are broadcast; beyond, blocks and vectors meet in a salted join.
+BROADCAST_BYTES = 64 << 20
+SALTS = 64
 #: Scores that agree to this many decimals tie: the order of a sum must not decide a rank.
 DIGITS = 9
 
@@ -18,17 +22,23 @@ def dense_scores(vectors: DataFrame, query_vectors: DataFrame, key: list[str]) -
     """query_id, key, score: the best dot product over a query's vectors (both sides of unit length).
 
     Queries are cut in blocks of about 256 and a block travels as one row, so every vector meets each block once
-    in an equi-join; a single block is small enough to broadcast.
+    in an equi-join. Blocks are broadcast up to a checked size; more of them are spread over (block, bucket of
+    vectors) keys, so that the number of tasks follows the vectors and not the blocks.
     """
     asked = query_vectors.groupBy("query_id").agg(F.collect_list("embedding").alias("qs"))
-    blocks = max(1, -(-asked.count() // BLOCK))
+    n, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("qs", F.lit(0), lambda s, q: s + F.size(q)).cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     rows = asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "qs")).alias("asked"))
     each = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = each.join(F.broadcast(rows) if blocks == 1 else rows, "block")
+    if 8 * numbers <= BROADCAST_BYTES:
+        met = each.join(F.broadcast(rows), "block")
+    else:
+        spread = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = each.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(spread, ["block", "__salt"])
     best = lambda a: F.array_max(F.transform(a["qs"], lambda q: dot(F.col("embedding"), q)))
     scored = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), best(a).alias("score")))
-    return met.select(*key, F.explode(scored).alias("s")).select("s.query_id", *key, "s.score")
+    return each_of(met, key, scored, ("s",)).select("s.query_id", *key, "s.score")
 
 
 def rank_list(scores: DataFrame, key: list[str], pool: int = C.SEARCH_POOL, positive: bool = False) -> DataFrame:
@@ -52,6 +62,6 @@ def fuse(lists: list[DataFrame], key: list[str], rrf_k: int = C.RRF_K) -> DataFr
 def top(scores: DataFrame, key: list[str], k: int = C.DEFAULT_K) -> DataFrame:
     """The k best rows of each query with their rank."""
     if k < 1:
-        raise ValueError(f"k must be at least 1, got {k}")
+        raise ValueError(f"ask for one result or more, not {k}")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), *key)
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

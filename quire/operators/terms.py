@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import constants as C
 from quire.functions import text as T
 from quire.functions.vector import dot
-from quire.operators.chunks import unique_sentences
+from quire.operators.chunks import own_sentences
+from quire.operators.ordering import each_of
 from quire.runtime import ship
+from quire.scratch import Workspace
 
 CHAPTER = ["book", "chapter_key"]
 
@@ -45,17 +46,25 @@ class TermTables:
     """
 
     def __init__(self, chunks: DataFrame, sources: DataFrame, overlap: int = C.CHUNK_OVERLAP):
+        self.space = Workspace(chunks.sparkSession, "terms")
         who = sources.select("source_id", "ordinal", book_key(F.col("title"), F.col("author")).alias("book"), "filename")
         self.chunks = chunks.join(who, "source_id").withColumn("chapter_key", chapter_key(F.col("chapter"), F.col("source_id")))
-        seen = unique_sentences(chunks, overlap).join(who, "source_id")
-        segments = seen.select("*", F.posexplode(T.word_segments(F.col("sentence"))).alias("seg", "ws"))
-        pair = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.get(F.col("ws"), i + 1).alias("next")))
-        each = segments.select("book", "source_id", "ordinal", "chapter", "chunk_id", "pdf_page", "pos", "seg", F.posexplode(pair).alias("at", "w"))
-        place = F.struct("ordinal", "chunk_id", "pos", "seg", "at")
+        # a chunk's own words in one array, each with the next of its segment: one row a word, and its place in one number
+        pairs = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), F.get(ws, i + 1).alias("next")))
+        own = chunks.withColumn("__own", own_sentences(overlap))
+        words = F.flatten(F.transform("__own", lambda s: F.flatten(F.transform(T.word_segments(s), pairs))))
+        each = each_of(own.join(who, "source_id"), ["book", "source_id", "ordinal", "chapter", "chunk_id", "pdf_page"], words, ("at", "w"))
+        place = F.shiftleft(F.col("chunk_id").cast("bigint"), 32) + F.col("at")
         key = chapter_key(F.col("chapter"), F.col("source_id"))
-        self.words = each.groupBy("book", key.alias("chapter_key"), "source_id", "ordinal", "pdf_page", F.col("w.word").alias("word"), F.col("w.next").alias("next")).agg(
+        # written once: the vocabulary, the folds and the tallies read it
+        words = each.groupBy("book", key.alias("chapter_key"), "source_id", "ordinal", "pdf_page", F.col("w.word").alias("word"), F.col("w.next").alias("next")).agg(
             F.count("*").alias("n"), F.min(place).alias("first")
-        ).persist(StorageLevel.MEMORY_AND_DISK)  # read by the vocabulary, the folds and the tallies
+        )
+        self.words = self.space.save(words, "words")
+
+    def close(self) -> None:
+        """Remove the counted words; what was derived from them must have been read."""
+        self.space.close()
 
     def vocabulary(self) -> DataFrame:
         return self.words.select("book", F.lower("word").alias("word")).distinct()
@@ -79,11 +88,11 @@ class TermTables:
         phrase = F.struct(F.concat_ws(" ", "k", "m").alias("term"), F.concat_ws(" ", "word", "next").alias("written"))
         terms = F.when(F.coalesce(is_content(F.col("m")), F.lit(False)), F.array(single, phrase)).otherwise(F.array(single))
         each = got.select("*", F.explode(terms).alias("t"))
-        return each.select("book", "chapter_key", "source_id", "ordinal", "pdf_page", "t.term", "t.written", "n", "first")
+        return each.select("book", "chapter_key", "source_id", "ordinal", "pdf_page", "t.term", "t.written", "n", F.struct("ordinal", "first").alias("first"))
 
     def counts(self, tallies: DataFrame) -> DataFrame:
         """book, chapter_key, term, count, size (content words of the chapter), book_count, book_size."""
-        counts = tallies.groupBy(*CHAPTER, "term").agg(F.sum("n").alias("count"))
+        counts = tallies.groupBy(*CHAPTER, "term").agg(F.sum("n").alias("count")).repartition("book", "term")  # one exchange for all uses
         single = ~F.col("term").contains(" ")
         sizes = counts.groupBy(*CHAPTER).agg(F.sum(F.when(single, F.col("count")).otherwise(0)).alias("size"))
         books = sizes.groupBy("book").agg(F.sum("size").alias("book_size"))
@@ -149,7 +158,7 @@ def prune(candidates: DataFrame, top: int = C.DEFAULT_TOP) -> DataFrame:
     Groups hold at most the candidate pool (50 rows), so the sequential rule runs group by group in pandas.
     """
     if top < 1:
-        raise ValueError(f"top must be at least 1, got {top}")
+        raise ValueError(f"keep one term or more, not {top}")
     ship(candidates.sparkSession)
     cols = candidates.select(*CHAPTER, "term", "count", "final_rank")
     return cols.groupBy(*CHAPTER).applyInPandas(lambda pdf: prune_frame(pdf, top), "book string, chapter_key string, term string, count bigint, final_rank int, term_rank int")

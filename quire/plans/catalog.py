@@ -13,6 +13,7 @@ from quire.operators import chunks as ch, lexical, library_ops as lib, pages as
 from quire.operators.terms import TermTables, chapter_directions, prune
 from quire.plans.search import KEY, corpus, query_vectors, search
 from quire.plans.terms import key_terms
+from quire.scratch import Workspace
 from quire.sources.adapter import PAGES_SQL, book_pages, sources
 from quire.sources.embedder import HashingEmbedder
 
@@ -127,6 +128,11 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.chunk_pages(book_pages(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as an ingest job would have stored them, for queries that read them more than once."""
+    return Workspace(spark, "chunks").save(_chunks(spark, sf_dir), "chunks")
+
+
 # -- sentences and chunks -------------------------------------------------------------------------------------
 @query(f"WITH {_SENT} SELECT source_id, pdf_page, pos, sentence FROM sent")
 def sentences_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +227,7 @@ def dense_multi_query_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks, their vectors and the sources, as an ingest job would have stored them."""
     pages = book_pages(spark, sf_dir)
-    chunks = ch.chunk_pages(pages)
+    chunks = _stored(spark, sf_dir)
     vectors = chunks.select("source_id", "chunk_id", HashingEmbedder().embed(F.col("text")).alias("embedding"))
     return chunks, vectors, sources(pages)
 
@@ -376,7 +382,7 @@ score AS (SELECT book, chapter, term, n, CASE WHEN book_size = size THEN rate WH
 
 def _terms(spark: SparkSession, sf_dir: str) -> TermTables:
     pages = book_pages(spark, sf_dir)
-    return TermTables(ch.chunk_pages(pages), sources(pages))
+    return TermTables(_chunks(spark, sf_dir), sources(pages))
 
 
 def _book() -> F.Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire import constants as C
 from quire.functions import cite, text as T
 from quire.functions.vector import dot
-from quire.operators.chunks import neighbours
+from quire.operators.chunks import with_neighbours
 from quire.operators.lexical import bm25
 from quire.operators.ranking import dense_scores, fuse, rank_list, top
 from quire.sources.embedder import Embedder
@@ -41,7 +41,7 @@ def search(
     are embedded for the k results alone.
     """
     if k < 1:
-        raise ValueError(f"k must be at least 1, got {k}")
+        raise ValueError(f"ask for one result or more, not {k}")
     asked = queries.where(T.strip(F.coalesce("text", F.lit(""))) != "")
     scope = sources if only is None else sources.where(F.col("source_id").isin(only))
     used, _ = corpus(chunks, vectors, scope)
@@ -53,7 +53,7 @@ def search(
     lists = [rank_list(dense, KEY), rank_list(lexical, KEY, positive=True)]
     best = top(fuse(lists, KEY), KEY, k)
     # few rows from here on
-    near = neighbours(own).join(best.select("query_id", "source_id", "chunk_id", "rank", "score"), ["source_id", "chunk_id"])
+    near = with_neighbours(own, best.select("query_id", "source_id", "chunk_id", "rank", "score"))
     each = near.select("query_id", "source_id", "chunk_id", F.posexplode("sentences").alias("pos", "sentence")).withColumn("v", embedder.embed(F.col("sentence")))
     pairs = each.join(asked_vectors.withColumnRenamed("embedding", "q"), "query_id")
     sims = pairs.groupBy("query_id", "source_id", "chunk_id", "pos").agg(F.max(dot(F.col("v"), F.col("q"))).alias("sim"))

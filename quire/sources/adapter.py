@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ordering import running_offset
+
 #: The same mapping for the oracle; `documents` is a registered view there.
 PAGES_SQL = """
 SELECT concat(lang, '-', source) AS source_id,
@@ -15,12 +17,18 @@ FROM documents
 
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, pdf_page, text, printed_page, chapter, title."""
+    """source_id, pdf_page, text, printed_page, chapter, title; doc_ids are unique.
+
+    Pages are numbered on the ids alone, range by range, and then join their texts: no source is sorted in one task.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    order = Window.partitionBy("lang", "source").orderBy("doc_id")
-    return docs.select(
+    key = F.concat_ws("\u0001", F.coalesce("lang", F.lit("\u0002")), F.coalesce("source", F.lit("\u0002"))).alias("__key")
+    placed = running_offset(docs.select("doc_id", key), "__key", "doc_id", F.lit(1), "__before")
+    numbers = placed.select("doc_id", (F.col("__before") + 1).cast("int").alias("pdf_page"))
+    # the exchange that the join needs where the numbers are many; where they are few, it spreads a file of one row group
+    return docs.repartition("doc_id").join(numbers, "doc_id").select(
         F.concat("lang", F.lit("-"), "source").alias("source_id"),
-        F.row_number().over(order).alias("pdf_page"),
+        "pdf_page",
         "text",
         F.lit(None).cast("int").alias("printed_page"),
         F.col("source").alias("chapter"),
