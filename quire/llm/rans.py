@@ -33,7 +33,7 @@ BLOCK = 1 << 18
 SEGMENT = 1 << 22
 CHECKPOINT = 128
 #: Ids that a reading task takes, about.
-SPAN = 1 << 20
+SPAN = 1 << 22
 MAGIC = b"QRANS001"
 LOW = np.uint64(1 << 31)
 
