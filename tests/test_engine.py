@@ -138,7 +138,13 @@ def test_library_lifecycle(spark, tmp_path):
     library._write(manifest)
     notes = []
     assert library.upgrade_stale(lambda e: None, HashingEmbedder(), notes.append) == [] and notes
-    assert library.upgrade_stale(lambda e: pages, HashingEmbedder()) == ["a" * 64] and library.sources().first().title == "New"
+    old = library._entry("a" * 64)
+    assert library.upgrade_stale(lambda e: pages, HashingEmbedder(), notes.append) == [] and "best" in notes[-1]  # no tier is lost
+    assert library._entry("a" * 64) == old and library.vectors("best").count() == library.chunks().count()
+    whole = Library(spark, str(tmp_path / "lib"), {"best": HashingEmbedder("best")})
+    assert whole.upgrade_stale(lambda e: pages, HashingEmbedder()) == ["a" * 64] and library.sources().first().title == "New"
+    assert library.sources().first().tiers == ["fast", "best"] and library.vectors("best").count() == library.vectors("fast").count() == library.chunks().count()
+    assert not (tmp_path / "lib" / old["chunks"]).exists() and library.size_bytes() > 0
     assert library.diagnostics().first().sources == 1
     library.remove("new")
     assert library.sources().count() == 0 and library.chunks().count() == 0
