@@ -77,10 +77,10 @@ def chapters_from_toc(toc: DataFrame) -> DataFrame:
 
 
 def body_sizes(spans: DataFrame) -> DataFrame:
-    """(source_id, body_size): the font size with most characters; the first seen on a tie."""
+    """(source_id, body_size): the font size with most characters; the first seen on a tie. Raw text has size 0 and no say."""
     chars = F.length(T.strip(F.col("text")))
     place = F.struct("pdf_page", "block_no", "line_no", "span_no")
-    by_size = spans.where(chars > 0).groupBy("source_id", F.bround("size", 1).alias("size")).agg(F.sum(chars).alias("n"), F.min(place).alias("first"))
+    by_size = spans.where((chars > 0) & (F.col("size") > 0)).groupBy("source_id", F.bround("size", 1).alias("size")).agg(F.sum(chars).alias("n"), F.min(place).alias("first"))
     return by_size.groupBy("source_id").agg(F.min_by("size", F.struct(-F.col("n"), F.col("first"))).alias("body_size"))
 
 

@@ -346,6 +346,62 @@ def source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@query(r"SELECT doc_id, replace(regexp_replace(replace(text, 'fi', 'ﬁ '), 'ﬁ\s([A-Za-z])', 'fi\1', 'g'), 'ﬁ', 'fi') AS text FROM documents")
+def ligatures_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, with each fi set as a glyph and a gap first, so that there is something to mend."""
+    return _documents(spark, sf_dir).select("doc_id", T.normalize_ligatures(F.regexp_replace("text", "fi", "ﬁ ")).alias("text"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '([a-z][.,;:!?)\]"''”’]{0,2})\d{1,3}(\s|$)', '\1\2', 'g') AS text FROM documents""")
+def endnotes_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", T.strip_endnotes(F.col("text")).alias("text"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_STRIP.format('text')} AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 280 THEN s ELSE regexp_replace(left(s, 279), '\\s+$', '') || '…' END AS text FROM d")
+def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", T.truncate(F.col("text"), 280).alias("text"))
+
+
+@query(
+    f"""WITH {_SENT} SELECT source_id, pdf_page, pos, concat('Holmes, Seth. *', title, '*. p. ', pdf_page, '.', chr(10), '“', regexp_replace(sentence, '\\.$', ''), '” (Holmes ', pdf_page, ').') AS block FROM sent WHERE pos = 0"""
+)
+def citation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLA citation and quoted line of each page's first sentence, as if the page number were printed."""
+    pages = book_pages(spark, sf_dir)
+    first = ch.page_sentences(pages).where("pos = 0").join(pages.select("source_id", "pdf_page", "title"), ["source_id", "pdf_page"])
+    sentence = cite.best_sentence_text(F.array("sentence"), F.lit(0), F.lit("no sentence"))
+    block = cite.citation_block(sentence, F.lit("Seth Holmes"), F.col("title"), F.col("pdf_page"), F.col("pdf_page"))
+    return first.select("source_id", "pdf_page", "pos", block.alias("block"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, lang, source, regexp_replace(source || ' ' || doc_id, '([A-Za-z])([0-9])', '\1 \2', 'g') AS named FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 2 = 0 THEN source ELSE '' END AS author,
+CASE WHEN doc_id % 4 = 0 THEN source ELSE upper(left(named, 1)) || substr(named, 2) END AS title FROM d"""
+)
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author and title from what is given, what is embedded and the filename, in that order; blanks count as absent."""
+    n = F.col("doc_id")
+    given, embedded = F.when(n % 3 == 0, F.concat(F.lit(" "), "lang")), F.when(n % 2 == 0, F.col("source")).otherwise(" ")
+    title = cite.resolve_title(F.when(n % 5 == 0, F.lit("  ")), F.when(n % 4 == 0, F.col("source")), F.concat("source", F.lit("_"), n.cast("string"), F.lit(".pdf")))
+    return _documents(spark, sf_dir).select("doc_id", cite.resolve_author(given, embedded).alias("author"), title.alias("title"))
+
+
+@query(
+    f"""WITH {_SENT}, n AS (SELECT source_id, pdf_page, count(*) AS k FROM sent GROUP BY 1, 2),
+d AS (SELECT doc_id, concat(lang, '-', source) AS source_id, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS INT) AS pdf_page, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS words FROM documents)
+SELECT CAST(doc_id AS INT) AS query_id, CASE WHEN words > {C.LONG_QUERY_WORDS} THEN k ELSE 1 END AS n FROM d JOIN n USING (source_id, pdf_page)"""
+)
+def long_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors a text has as a query: one, or one a sentence beyond 200 words."""
+    asked = _documents(spark, sf_dir).where(F.size(T.sentences(F.col("text"))) > 0).select(F.col("doc_id").cast("int").alias("query_id"), "text")
+    return query_vectors(asked, HashingEmbedder()).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 # -- terms ----------------------------------------------------------------------------------------------------
 _WORDS = (
     _SENT
@@ -356,8 +412,9 @@ seg AS (SELECT source_id, pdf_page, chapter, title AS book, pos, generate_subscr
 ws AS (SELECT source_id, pdf_page, chapter, book, pos, seg, regexp_extract_all(part, '\p{L}+(?:[''’-]\p{L}+)*') AS ws FROM seg),
 word AS (SELECT book, chapter, source_id, ordinal, pdf_page, pos, seg, i, ws[i] AS word, ws[i + 1] AS next FROM (
   SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM ws) JOIN ord USING (source_id)),
-vocab AS (SELECT DISTINCT book, lower(word) AS w FROM word),
-fold AS (SELECT a.book, a.w, b.w AS base FROM vocab a JOIN vocab b ON a.book = b.book AND b.w = CASE WHEN a.w LIKE '%ies' THEN left(a.w, length(a.w) - 3) || 'y' WHEN a.w LIKE '%s' AND a.w NOT LIKE '%ss' THEN left(a.w, length(a.w) - 1) END WHERE length(b.w) >= 3)"""
+vocab AS MATERIALIZED (SELECT DISTINCT book, lower(word) AS w FROM word),
+stem AS (SELECT book, w, CASE WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) END AS base FROM vocab),
+fold AS (SELECT s.book, s.w, s.base FROM stem s JOIN vocab v ON v.book = s.book AND v.w = s.base WHERE length(s.base) >= 3)"""
 )
 _TALLY = (
     _WORDS
@@ -443,7 +500,24 @@ def densest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.densest(t.tallies()).select(_book(), _chapter(), "term", "source_id", "pdf_page")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TALLY},
+cand AS MATERIALIZED (SELECT book, chapter, term, n AS count, string_split(term, ' ') AS ws, row_number() OVER (PARTITION BY book, chapter ORDER BY score DESC, term) AS r FROM score WHERE n >= 3 AND score > 0 QUALIFY r <= 50),
+p AS MATERIALIZED (
+  SELECT a.book, a.chapter, a.term, a.count, a.ws, a.r, coalesce(max(b.count), -1) AS inside FROM cand a
+  LEFT JOIN cand b ON a.book = b.book AND a.chapter = b.chapter AND len(b.ws) > 1 AND list_contains(b.ws, a.term) GROUP BY ALL),
+walk(book, chapter, r, kept) AS (
+  SELECT book, chapter, 0::BIGINT, []::VARCHAR[] FROM (SELECT DISTINCT book, chapter FROM p)
+  UNION ALL
+  SELECT w.book, w.chapter, w.r + 1, CASE WHEN len(w.kept) >= {C.DEFAULT_TOP}
+      OR len(list_filter(p.ws, lambda x: len(list_filter(flatten(list_transform(w.kept, lambda k: string_split(k, ' '))), lambda y: y = x)) >= {C.TERMS_PER_WORD})) > 0
+      OR (len(p.ws) = 1 AND (p.inside >= {C.ABSORB_RATIO}::DOUBLE * p.count OR list_contains(flatten(list_transform(list_filter(w.kept, lambda k: k LIKE '% %'), lambda k: string_split(k, ' '))), p.term)))
+    THEN w.kept ELSE list_append(w.kept, p.term) END
+  FROM walk w JOIN p ON p.book = w.book AND p.chapter = w.chapter AND p.r = w.r + 1),
+best AS (SELECT book, chapter, arg_max(kept, r) AS kept FROM walk GROUP BY 1, 2),
+out AS (SELECT book, chapter, unnest(kept) AS term, CAST(unnest(range(1, len(kept) + 1)) AS INT) AS term_rank FROM best)
+SELECT book, chapter, term, count, term_rank FROM out JOIN p USING (book, chapter, term)"""
+)
 def terms_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
     kept = prune(t.candidates(t.counts(t.tallies())).withColumn("final_rank", F.col("cut_rank")))

@@ -35,7 +35,7 @@ def corpus(chunks: DataFrame, vectors: DataFrame, sources: DataFrame) -> tuple[D
 def search(
     chunks: DataFrame, vectors: DataFrame, sources: DataFrame, queries: DataFrame, embedder: Embedder, k: int = C.DEFAULT_K, only: list[str] | None = None,
 ) -> DataFrame:
-    """query_id, rank, score, source_id, chunk_id, text, best_sentence, page_label, citation, quote, before, after.
+    """query_id, rank, score, source_id, chunk_id, text, best_sentence, page_label, citation, quote, before, after, and the parts they are made of.
 
     Statistics are those of the sources searched (`only`, or all in step). Blank queries have no results. Sentences
     are embedded for the k results alone.
@@ -58,15 +58,31 @@ def search(
     pairs = each.join(asked_vectors.withColumnRenamed("embedding", "q"), "query_id")
     sims = pairs.groupBy("query_id", "source_id", "chunk_id", "pos").agg(F.max(dot(F.col("v"), F.col("q"))).alias("sim"))
     chosen = sims.groupBy("query_id", "source_id", "chunk_id").agg(F.min_by("pos", F.struct(-F.col("sim"), F.col("pos"))).alias("best_sentence"))
-    full = near.join(chosen, ["query_id", "source_id", "chunk_id"], "left").join(used.select("source_id", "title", "author"), "source_id")
+    full = near.join(chosen, ["query_id", "source_id", "chunk_id"], "left").join(used.select("source_id", "title", "author", "filename"), "source_id")
     sentence = cite.best_sentence_text(F.col("sentences"), F.coalesce("best_sentence", F.lit(0)), F.col("text"))
     return full.select(
         "query_id", "rank", "score", "source_id", "chunk_id", "text", F.coalesce("best_sentence", F.lit(0)).alias("best_sentence"),
         cite.page_label(F.col("printed_page"), F.col("pdf_page")).alias("page_label"),
         cite.mla(F.col("author"), F.col("title"), F.col("printed_page"), F.col("pdf_page")).alias("citation"),
         cite.quoted_line(sentence, F.col("author"), F.col("printed_page")).alias("quote"),
-        "before", "after",
+        "before", "after", "sentences", "pdf_page", "printed_page", "chapter", "title", "author", "filename",
     )
 
 
-__all__ = ["corpus", "query_vectors", "search"]
+def as_json(results: DataFrame) -> DataFrame:
+    """query_id, rank, json: each result of `search` as one JSON object with its source, chunk, context and citations; nulls are kept."""
+    sentence = cite.best_sentence_text(F.col("sentences"), F.col("best_sentence"), F.col("text"))
+    of = lambda *names: F.struct(*[F.col(n) for n in names])
+    citation = F.struct(
+        F.col("citation").alias("mla"), cite.parenthetical(F.col("author"), F.col("printed_page")).alias("in_text"), F.col("quote").alias("quoted_line"),
+        cite.citation_block(sentence, F.col("author"), F.col("title"), F.col("printed_page"), F.col("pdf_page")).alias("block"),
+    )
+    whole = F.struct(
+        "score", of("source_id", "title", "author", "filename").alias("source"), "page_label",
+        of("source_id", "chunk_id", "text", "sentences", "pdf_page", "printed_page", "chapter").alias("chunk"),
+        "best_sentence", sentence.alias("best_sentence_text"), "before", "after", citation.alias("citation"),
+    )
+    return results.select("query_id", "rank", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
+__all__ = ["as_json", "corpus", "query_vectors", "search"]

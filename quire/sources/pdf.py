@@ -25,6 +25,17 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.sha2("content", 256).alias("source_id"), "path", F.regexp_extract("path", "[^/]+$", 0).alias("filename"), "content").dropDuplicates(["source_id"])
 
 
+def page_spans(number: int, blocks: list[dict], raw: Callable[[], str]) -> list[dict]:
+    """The spans of one page; a page without any, as some generators write only raw text, has a span of size 0 for each raw line."""
+    found = [
+        {"pdf_page": number, "block_no": b, "line_no": at, "span_no": k, "text": s.get("text", ""), "size": float(s.get("size", 0)), "flags": int(s.get("flags", 0))}
+        for b, block in enumerate(blocks)
+        for at, line in enumerate(block.get("lines", []))
+        for k, s in enumerate(line.get("spans", []))
+    ]
+    return found or [{"pdf_page": number, "block_no": 0, "line_no": at, "span_no": 0, "text": t, "size": 0.0, "flags": 0} for at, t in enumerate(raw().splitlines())]
+
+
 def default_decoder(data: bytes) -> tuple[list[dict], list[dict], dict]:
     """Decode with PyMuPDF where it is installed."""
     try:
@@ -34,10 +45,7 @@ def default_decoder(data: bytes) -> tuple[list[dict], list[dict], dict]:
     doc = pymupdf.open(stream=data, filetype="pdf")
     spans = []
     for number, page in enumerate(doc, 1):
-        for b, block in enumerate(page.get_text("dict").get("blocks", [])):
-            for at, line in enumerate(block.get("lines", [])):
-                for k, s in enumerate(line.get("spans", [])):
-                    spans.append({"pdf_page": number, "block_no": b, "line_no": at, "span_no": k, "text": s["text"], "size": float(s["size"]), "flags": int(s["flags"])})
+        spans += page_spans(number, page.get_text("dict").get("blocks", []), lambda page=page: page.get_text("text"))
     toc = [{"seq": i, "level": level, "title": title, "page_no": page} for i, (level, title, page) in enumerate(doc.get_toc(simple=True))]
     return spans, toc, {"title": doc.metadata.get("title") or "", "author": doc.metadata.get("author") or "", "pages": doc.page_count}
 
