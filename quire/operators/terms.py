@@ -15,6 +15,8 @@ from quire.runtime import ship
 from quire.scratch import Workspace
 
 CHAPTER = ["book", "chapter_key"]
+#: Plurals (rows of some 60 bytes) up to which they are broadcast.
+FOLD_ROWS = 500_000
 
 
 def is_content(c: Column) -> Column:
@@ -46,7 +48,7 @@ class TermTables:
     """
 
     def __init__(self, chunks: DataFrame, sources: DataFrame, overlap: int = C.CHUNK_OVERLAP):
-        self.space = Workspace(chunks.sparkSession, "terms")
+        self.space, self._folds = Workspace(chunks.sparkSession, "terms"), None
         who = sources.select("source_id", "ordinal", book_key(F.col("title"), F.col("author")).alias("book"), "filename")
         self.chunks = chunks.join(who, "source_id").withColumn("chapter_key", chapter_key(F.col("chapter"), F.col("source_id")))
         # a chunk's own words in one array, each with the next of its segment: one row a word, and its place in one number
@@ -70,14 +72,21 @@ class TermTables:
         return self.words.select("book", F.lower("word").alias("word")).distinct()
 
     def folds(self) -> DataFrame:
-        """(book, word, base) for plurals whose singular the book uses too."""
-        v = self.vocabulary()
-        plural = v.select("book", "word", T.singular(F.col("word")).alias("base")).where(F.length("base") >= C.MIN_WORD_CHARS)
-        return plural.join(v.select("book", F.col("word").alias("base")), ["book", "base"]).select("book", "word", "base")
+        """(book, word, base) for plurals whose singular the book uses too; worked out and written once."""
+        if self._folds is None:
+            v = self.vocabulary()
+            plural = v.select("book", "word", T.singular(F.col("word")).alias("base")).where(F.length("base") >= C.MIN_WORD_CHARS)
+            self._folds = self.space.save(plural.join(v.select("book", F.col("word").alias("base")), ["book", "base"]).select("book", "word", "base"), "folds")
+        return self._folds
 
     def tallies(self) -> DataFrame:
-        """book, chapter_key, source_id, ordinal, pdf_page, term, written, n, first: words and two-word phrases."""
+        """book, chapter_key, source_id, ordinal, pdf_page, term, written, n, first: words and two-word phrases.
+
+        Folds are broadcast up to a checked number, so that words needn't move to meet them; more are joined by shuffle.
+        """
         folds = self.folds()
+        if folds.limit(FOLD_ROWS + 1).count() <= FOLD_ROWS:
+            folds = F.broadcast(folds)
         a = folds.select("book", F.col("word").alias("__w"), F.col("base").alias("__b"))
         b = folds.select("book", F.col("word").alias("__w2"), F.col("base").alias("__b2"))
         got = self.words.withColumn("__w", F.lower("word")).withColumn("__w2", F.lower("next"))
