@@ -6,39 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import constants as C
-from quire.functions.vector import dot
-from quire.operators.ordering import each_of
+from quire.operators import scoring
+from quire.scratch import Workspace
 
 
-BLOCK = 256
-#: Bytes of query vectors up to which all blocks are broadcast; beyond, blocks and vectors meet in a salted join.
+#: Query vectors of one block.
+BLOCK = 4096
+#: Bytes of blocks that a task keeps; more blocks are read again for each batch of vectors.
 BROADCAST_BYTES = 64 << 20
-SALTS = 64
 #: Scores that agree to this many decimals tie: the order of a sum must not decide a rank.
 DIGITS = 9
 
 
+def _scored(vectors: DataFrame, query_vectors: DataFrame, key: list[str], pool: int | None) -> DataFrame:
+    """Queries are written in blocks that hold all vectors of a query; a slice of vectors meets a block in one matrix product."""
+    space = Workspace(vectors.sparkSession, "dense")
+    asked = space.save(query_vectors.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "asked")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    space.save(asked.repartition(blocks, "query_id"), "blocks")
+    rows = vectors.select(*key, "embedding")
+    schema = ", ".join(["query_id " + asked.schema["query_id"].dataType.simpleString(), *(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key), "score double"])
+    uri = space.path("blocks")
+    kept = BROADCAST_BYTES
+    run = scoring.every(uri, scoring.Vectors, key, False, kept) if pool is None else scoring.best(uri, scoring.Vectors, key, False, pool, DIGITS, kept)
+    return rows.mapInArrow(run, schema)
+
+
 def dense_scores(vectors: DataFrame, query_vectors: DataFrame, key: list[str]) -> DataFrame:
-    """query_id, key, score: the best dot product over a query's vectors (both sides of unit length).
+    """query_id, key, score: the best dot product over a query's vectors (both sides of unit length); null where a vector is or holds null."""
+    return _scored(vectors, query_vectors, key, None)
 
-    Queries are cut in blocks of about 256 and a block travels as one row, so every vector meets each block once
-    in an equi-join. Blocks are broadcast up to a checked size; more of them are spread over (block, bucket of
-    vectors) keys, so that the number of tasks follows the vectors and not the blocks.
-    """
-    asked = query_vectors.groupBy("query_id").agg(F.collect_list("embedding").alias("qs"))
-    n, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("qs", F.lit(0), lambda s, q: s + F.size(q)).cast("long")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    rows = asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "qs")).alias("asked"))
-    each = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if 8 * numbers <= BROADCAST_BYTES:
-        met = each.join(F.broadcast(rows), "block")
-    else:
-        spread = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = each.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(spread, ["block", "__salt"])
-    best = lambda a: F.array_max(F.transform(a["qs"], lambda q: dot(F.col("embedding"), q)))
-    scored = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), best(a).alias("score")))
-    return each_of(met, key, scored, ("s",)).select("s.query_id", *key, "s.score")
+
+def dense_best(vectors: DataFrame, query_vectors: DataFrame, key: list[str], pool: int = C.SEARCH_POOL) -> DataFrame:
+    """Of `dense_scores`, all rows that `rank_list` or `top` can take with up to `pool` rows a query: each task's best."""
+    return _scored(vectors, query_vectors, key, pool)
 
 
 def rank_list(scores: DataFrame, key: list[str], pool: int = C.SEARCH_POOL, positive: bool = False) -> DataFrame:

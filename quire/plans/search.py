@@ -9,8 +9,9 @@ from quire import constants as C
 from quire.functions import cite, text as T
 from quire.functions.vector import dot
 from quire.operators.chunks import with_neighbours
-from quire.operators.lexical import bm25
-from quire.operators.ranking import dense_scores, fuse, rank_list, top
+from quire.operators.lexical import bm25_best
+from quire.operators.ranking import dense_best, fuse, rank_list, top
+from quire.scratch import Workspace
 from quire.sources.embedder import Embedder
 
 KEY = ["ordinal", "source_id", "chunk_id"]
@@ -45,15 +46,17 @@ def search(
     asked = queries.where(T.strip(F.coalesce("text", F.lit(""))) != "")
     scope = sources if only is None else sources.where(F.col("source_id").isin(only))
     used, _ = corpus(chunks, vectors, scope)
+    used = Workspace(chunks.sparkSession, "scope").save(used, "used")
     ordinal = used.select("source_id", "ordinal")
-    own = chunks.join(ordinal, "source_id")
+    own = chunks.join(F.broadcast(ordinal), "source_id")  # one row a source
     asked_vectors = query_vectors(asked, embedder)
-    dense = dense_scores(vectors.join(ordinal, "source_id"), asked_vectors, KEY)
-    lexical = bm25(own, asked).join(ordinal, "source_id")
+    dense = dense_best(vectors.join(F.broadcast(ordinal), "source_id"), asked_vectors, KEY)
+    lexical = bm25_best(own, asked, more=["ordinal"])
     lists = [rank_list(dense, KEY), rank_list(lexical, KEY, positive=True)]
-    best = top(fuse(lists, KEY), KEY, k)
-    # few rows from here on
-    near = with_neighbours(own, best.select("query_id", "source_id", "chunk_id", "rank", "score"))
+    # few rows from here on, written once
+    space = Workspace(chunks.sparkSession, "search")
+    best = space.save(top(fuse(lists, KEY), KEY, k).select("query_id", "source_id", "chunk_id", "rank", "score"), "best")
+    near = space.save(with_neighbours(own, best), "near")
     each = near.select("query_id", "source_id", "chunk_id", F.posexplode("sentences").alias("pos", "sentence")).withColumn("v", embedder.embed(F.col("sentence")))
     pairs = each.join(asked_vectors.withColumnRenamed("embedding", "q"), "query_id")
     sims = pairs.groupBy("query_id", "source_id", "chunk_id", "pos").agg(F.max(dot(F.col("v"), F.col("q"))).alias("sim"))
