@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.constants import ABBREVIATIONS, FOLIO_BAND, MAX_FOLIO
+from quire.constants import ABBREVIATIONS, FOLIO_BAND
+from quire.functions.vector import let
 
 _CLOSERS = "[\"'”’)\\]]"
 _OPENERS = "[\"'“‘(\\[]"
@@ -38,8 +39,8 @@ def strip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines of a text; a last empty one doesn't count."""
-    parts = F.split(c, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    last = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return let(F.split(c, LINE_BREAK), last)
 
 
 def normalize_ligatures(c: Column) -> Column:
@@ -73,13 +74,16 @@ def normalize_title(c: Column) -> Column:
 def parse_folio(c: Column) -> Column:
     """A bare page number, decoration aside; Roman numerals and anything else are null."""
     bare = F.regexp_replace(strip(c), "^[\\[\\]()\\-–—•. \\t]+|[\\[\\]()\\-–—•. \\t]+$", "")
-    value = F.when(bare.rlike("^\\d{1,4}$"), bare.cast("int"))
-    return F.when((value > 0) & (value <= MAX_FOLIO), value)
+    # four digits at most, so never above MAX_FOLIO; what it is made from is worked out once
+    return let(bare, lambda b: F.when(b.rlike("^\\d{1,4}$") & ~b.rlike("^0+$"), b.cast("int")))
 
 
 def printed_page(c: Column) -> Column:
     """The folio in the footer or header band of a page; on a short page only the outermost lines count."""
-    full = F.filter(lines(c), lambda x: strip(x) != "")
+    return let(F.filter(lines(c), lambda x: x.rlike("(?U)\\S")), _folio_of)
+
+
+def _folio_of(full: Column) -> Column:
     n = F.size(full)
     footer = F.when(n > 2 * FOLIO_BAND, F.reverse(F.slice(full, -FOLIO_BAND, FOLIO_BAND))).otherwise(F.slice(full, -1, 1))
     header = F.when(n > 2 * FOLIO_BAND, F.slice(full, 1, FOLIO_BAND)).otherwise(F.slice(full, 1, 1))

@@ -33,7 +33,7 @@ def running_heads(pages: DataFrame) -> DataFrame:
 def clean_pages(pages: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Pages with text reflowed: hyphenation mended, running heads and bare numbers gone.
 
-    A source's heads travel as one array, as there are few; no line is exploded and no page shuffled for them.
+    A source's heads travel as one array, as there are few, and are broadcast; no line is exploded and no page shuffled.
     """
     heads = running_heads(pages) if heads is None else heads
     by_source = heads.groupBy("source_id").agg(F.collect_set("line").alias("__heads"))
@@ -41,7 +41,7 @@ def clean_pages(pages: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         F.transform(T.lines(T.dehyphenate(F.col("text"))), T.strip),
         lambda x: (x != "") & ~T.is_digits(x) & ~F.coalesce(F.array_contains("__heads", x), F.lit(False)),
     )
-    return pages.join(by_source, "source_id", "left").withColumn("text", T.squeeze(F.array_join(kept, " "))).drop("__heads")
+    return pages.join(F.broadcast(by_source), "source_id", "left").withColumn("text", T.squeeze(F.array_join(kept, " "))).drop("__heads")
 
 
 def carry_forward(pages: DataFrame, starts: DataFrame, bucket: int = BUCKET) -> DataFrame:
