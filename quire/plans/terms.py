@@ -21,13 +21,14 @@ def key_terms(
     these sources, after scoring against the whole book.
     """
     made = TermTables(chunks, sources, overlap)
-    tallies = made.tallies()
-    found = made.candidates(made.counts(tallies))
-    shown, dense = made.display(tallies), made.densest(tallies)
+    # few rows from here on, written once: pages are gone over again for these terms alone
+    found = made.space.save(made.candidates(made.counts()), "found")
+    named = found.select("book", "term").distinct()
+    shown, dense = made.space.save(made.display(named), "shown"), made.densest(named)
     lexical = found.withColumn("final_rank", F.col("cut_rank"))
     ranked = lexical.withColumn("reranked", F.lit(False))
     if vectors is not None and embedder is not None:
-        rows = made.chunks.join(vectors, ["source_id", "chunk_id"], "left").select("book", "chapter_key", "embedding")
+        rows = made.space.save(made.chunks.join(vectors, ["source_id", "chunk_id"], "left").select("book", "chapter_key", "embedding"), "rows")
         whole = rows.groupBy("book").agg(F.bool_and(F.col("embedding").isNotNull()).alias("full")).where("full").select("book")
         usable = rows.join(whole, "book", "left_semi")
         named = found.join(shown, ["book", "term"]).select("book", "term", embedder.embed(F.col("shown")).alias("embedding")).distinct()

@@ -25,8 +25,10 @@ def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("\u0001", F.coalesce("lang", F.lit("\u0002")), F.coalesce("source", F.lit("\u0002"))).alias("__key")
     placed = running_offset(docs.select("doc_id", key), "__key", "doc_id", F.lit(1), "__before")
     numbers = placed.select("doc_id", (F.col("__before") + 1).cast("int").alias("pdf_page"))
-    # the exchange that the join needs where the numbers are many; where they are few, it spreads a file of one row group
-    return docs.repartition("doc_id").join(numbers, "doc_id").select(
+    # the exchange that the join needs where the numbers are many; where they are few, it spreads a file of one row group.
+    # Its width is fixed: partitions put together by their bytes would leave the work on texts to a few tasks
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(width, "doc_id").join(numbers, "doc_id").select(
         F.concat("lang", F.lit("-"), "source").alias("source_id"),
         "pdf_page",
         "text",
